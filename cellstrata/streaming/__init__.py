@@ -1,0 +1 @@
+"""Structured Streaming entry points over the same operators."""
