@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellstrata.llm import bpe
+from cellstrata.llm import bpe, extract, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op2_byte_bpe(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op4_warc(_table(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6_pii(_table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.op10_html(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_warc": op4_warc,
+    "op6_pii": op6_pii,
+    "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as payload_digest from p),
+        m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as last from d)
+        select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id < last then last end as refers_to
+        from m
+    """,
+}
