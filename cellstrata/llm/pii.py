@@ -50,6 +50,11 @@ PATTERNS = {
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _hash(key: str, *parts: Column | str) -> Column:
     """A keyed whole number below 2**60."""
     text = F.concat_ws("\x1f", F.lit(key), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts], F.lit(key))
@@ -58,17 +63,21 @@ def _hash(key: str, *parts: Column | str) -> Column:
 
 def permute_digits(digits: Column, key: str, tweak: str) -> Column:
     """Keyed permutation of all digit strings of one length (2 to 30): an alternating Feistel network over its halves."""
-    n = F.length(digits)
-    half = F.floor(n / 2).cast("int")
 
-    def turn(s: Column, i: Column) -> Column:
-        width = F.length(s["a"])
-        whole = F.pow(F.lit(10.0), width).cast("long")
-        total = F.pmod(s["a"].cast("long") + F.pmod(_hash(key, tweak, n, i, s["b"]), whole), whole)
-        return F.struct(s["b"].alias("a"), F.lpad(total.cast("string"), width, "0").alias("b"))
+    def network(d: Column) -> Column:
+        n = F.length(d)
+        half = F.floor(n / 2).cast("int")
+
+        def turn(s: Column, i: Column) -> Column:
+            width = F.length(s["a"])
+            whole = F.pow(F.lit(10.0), width).cast("long")
+            total = F.pmod(s["a"].cast("long") + F.pmod(_hash(key, tweak, n, i, s["b"]), whole), whole)
+            return F.struct(s["b"].alias("a"), F.lpad(total.cast("string"), width, "0").alias("b"))
 
-    start = F.struct(F.substring(digits, F.lit(1), half).alias("a"), F.substring(digits, half + 1, n).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+        start = F.struct(F.substring(d, F.lit(1), half).alias("a"), F.substring(d, half + 1, n).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+
+    return _let(digits, network)
 
 
 def permute_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tweak: str) -> Column:
@@ -94,58 +103,71 @@ def _digits(s: Column) -> Column:
 def _refill(template: Column, digits: Column) -> Column:
     """The template with its digits replaced, in order."""
 
-    def at(i: Column) -> Column:
-        seen = F.length(_digits(F.substring(template, F.lit(1), i)))
-        c = F.substring(template, i, F.lit(1))
-        return F.when(c.rlike("[0-9]"), F.substring(digits, seen, F.lit(1))).otherwise(c)
+    def fill(d: Column) -> Column:
+        def at(i: Column) -> Column:
+            seen = F.length(_digits(F.substring(template, F.lit(1), i)))
+            c = F.substring(template, i, F.lit(1))
+            return F.when(c.between("0", "9"), F.substring(d, seen, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(template)), at), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(template)), at), "")
+    return _let(digits, fill)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a number whose last digit is the check digit."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = (n - i) % 2 == 1
-        return total + F.when(twice & (d > 4), 2 * d - 9).when(twice, 2 * d).otherwise(d)
+    def total(s: Column) -> Column:
+        def add(so_far: Column, i: Column) -> Column:
+            d = F.substring(s, i, F.lit(1)).cast("int")
+            twice = (F.length(s) - i) % 2 == 1
+            return so_far + F.when(twice & (d > 4), 2 * d - 9).when(twice, 2 * d).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+
+    return _let(digits, total)
 
 
 def _card(m: Column, key: str) -> Column:
-    body = _digits(m)
-    mixed = permute_digits(F.substring(body, F.lit(1), F.length(body) - 1), key, "card")
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(mixed, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    return _refill(m, F.concat(mixed, check))
+    own = _let(_digits(m), lambda d: F.substring(d, F.lit(1), F.length(d) - 1))
+
+    def with_check(mixed: Column) -> Column:
+        check = F.pmod(10 - F.pmod(luhn_sum(F.concat(mixed, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+        return F.concat(mixed, check)
+
+    return _refill(m, _let(permute_digits(own, key, "card"), with_check))
 
 
 def _mod97(s: Column) -> Column:
     """A letter counts as two digits, A as 10."""
 
-    def add(r: Column, i: Column) -> Column:
-        c = F.substring(s, i, F.lit(1))
-        v = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-        return F.pmod(r * F.when(v > 9, 100).otherwise(10) + v, F.lit(97))
+    def total(t: Column) -> Column:
+        def add(r: Column, i: Column) -> Column:
+            c = F.substring(t, i, F.lit(1))
+            v = F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+            return F.pmod(r * F.when(v > 9, 100).otherwise(10) + v, F.lit(97))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+    return _let(s, total)
 
 
 def _iban_valid(m: Column) -> Column:
-    s = F.regexp_replace(m, " ", "")
-    return F.length(s).between(15, 34) & (_mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
+    return _let(
+        F.regexp_replace(m, " ", ""),
+        lambda s: F.length(s).between(15, 34) & (_mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1),
+    )
 
 
 def _iban(m: Column, key: str) -> Column:
     s = F.regexp_replace(m, " ", "")
     land, account = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    own = _digits(account)
-    mixed = F.when(F.length(own) >= 2, _refill(account, permute_digits(own, key, "iban"))).otherwise(account)
-    check = F.lpad((98 - _mod97(F.concat(mixed, land, F.lit("00")))).cast("string"), 2, "0")
-    flat = F.concat(land, check, mixed)
-    spaced = F.trim(F.regexp_replace(flat, "(.{4})", "$1 "))
-    return F.when(m.contains(" "), spaced).otherwise(flat)
+
+    def whole(mixed: Column) -> Column:
+        return F.concat(land, F.lpad((98 - _mod97(F.concat(mixed, land, F.lit("00")))).cast("string"), 2, "0"), mixed)
+
+    mixed = F.when(F.length(_digits(account)) >= 2, _refill(account, permute_digits(_digits(account), key, "iban"))).otherwise(account)
+    return _let(_let(mixed, whole), lambda flat: F.when(m.contains(" "), F.trim(F.regexp_replace(flat, "(.{4})", "$1 "))).otherwise(flat))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -162,9 +184,12 @@ def _ssn(m: Column, key: str) -> Column:
     area = F.substring(m, 1, 3).cast("int")
     a = area - 1 - (area > 666).cast("int")
     b = (F.substring(m, 5, 2).cast("int") - 1) * 9999 + F.substring(m, 8, 4).cast("int") - 1
-    out = permute_pair(a, b, 898, 99 * 9999, key, "ssn")
-    new = out["a"] + 1 + (out["a"] + 1 >= 666).cast("int")
-    return F.format_string("%03d-%02d-%04d", new, F.floor(out["b"] / 9999) + 1, out["b"] % 9999 + 1)
+    return _let(
+        permute_pair(a, b, 898, 99 * 9999, key, "ssn"),
+        lambda v: F.format_string(
+            "%03d-%02d-%04d", v["a"] + 1 + (v["a"] + 1 >= 666).cast("int"), F.floor(v["b"] / 9999) + 1, v["b"] % 9999 + 1
+        ),
+    )
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -172,8 +197,8 @@ def _ip(m: Column, key: str) -> Column:
     v = permute_pair(
         o[0].cast("int") * 256 + o[1].cast("int"), o[2].cast("int") * 256 + o[3].cast("int"), 65536, 65536, key, "ip"
     )
-    a, b = v["a"].cast("int"), v["b"].cast("int")
-    return F.concat_ws(".", F.shiftright(a, 8), a % 256, F.shiftright(b, 8), b % 256)
+    parts = lambda v: [x for h in ("a", "b") for x in (F.shiftright(v[h].cast("int"), 8), v[h].cast("int") % 256)]
+    return _let(v, lambda v: F.concat_ws(".", *parts(v)))
 
 
 #: Notation: pattern of the text and the date format; of two that fit, the first valid one counts.
@@ -201,9 +226,9 @@ def _date_valid(m: Column) -> Column:
 def _date(m: Column, key: str) -> Column:
     first = F.lit(_YEARS_FROM).cast("date")
     n = F.datediff(F.coalesce(*[_day(m, *x) for x in _NOTATIONS]), first)
-    v = permute_pair(F.floor(n / _DAYS[1]), n % _DAYS[1], *_DAYS, key, "date")
-    new = F.date_add(first, (v["a"] * _DAYS[1] + v["b"]).cast("int"))
-    return F.coalesce(*[F.when(_day(m, p, f).isNotNull(), F.date_format(new, f)) for p, f in _NOTATIONS])
+    mixed = _let(n, lambda n: permute_pair(F.floor(n / _DAYS[1]), n % _DAYS[1], *_DAYS, key, "date"))
+    new = _let(mixed, lambda v: F.date_add(first, (v["a"] * _DAYS[1] + v["b"]).cast("int")))
+    return _let(new, lambda day: F.coalesce(*[F.when(_day(m, p, f).isNotNull(), F.date_format(day, f)) for p, f in _NOTATIONS]))
 
 
 def _email(m: Column, key: str) -> Column:
