@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellstrata.llm import bpe, extract, pii, warc
+from cellstrata.llm import bpe, decontaminate, extract, jaccard, licences, neighbours, pii, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op1_near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op2_byte_bpe(_table(spark, sf_dir, "documents"))
 
@@ -21,22 +25,117 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op4_warc(_table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op5_jaccard(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op6_pii(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op7_licences(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op8_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op9_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.op10_html(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
+    "op7_licences": op7_licences,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_html": op10_html,
 }
 
+def _licence_sql() -> str:
+    """Every start of every notice, without the index."""
+    text = lambda w: "'" + w.decode() + "'"
+    notices = licences.parsed()
+    places = ", ".join(f"({k}, {q}, {text(w)}, {int(q in t.key)})" for k, t in enumerate(notices) for q, w in enumerate(t.words))
+    meta = ", ".join(f"({k}, '{t.label}', {len(t.words)}, {len(t.key)})" for k, t in enumerate(notices))
+    base = [(label, phrase.split()) for phrase, label in licences.BASE.items()]
+    base_places = ", ".join(f"({k}, {q}, '{w}')" for k, (_, ws) in enumerate(base) for q, w in enumerate(ws))
+    base_meta = ", ".join(f"({k}, '{label}', {len(ws)})" for k, (label, ws) in enumerate(base))
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+        tok as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from d),
+        places(k, q, word, key) as (values {places}),
+        meta(k, label, n, n_key) as (values {meta}),
+        base_places(k, q, word) as (values {base_places}),
+        base_meta(k, label, n) as (values {base_meta}),
+        hits as (select doc_id, k, p - q as s, count(*) as same, sum(key) as keys from tok join places using (word) where p >= q group by all),
+        found as (select doc_id, label, same / n::double as score from hits join meta using (k) where keys = n_key),
+        base_hits as (select doc_id, k, p - q as s, count(*) as same from tok join base_places using (word) where p >= q group by all),
+        based as (select doc_id, label, s from base_hits join base_meta using (k) where same = n),
+        b as (select doc_id, count(*) as n_base, min(s) as first_word, max(s) as last_word, string_agg(distinct label, ',' order by label) as base_labels from based group by doc_id),
+        l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from based union all select doc_id, label from found) group by doc_id),
+        f as (select doc_id, max(score) as score from found group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+        from d left join b using (doc_id) left join l using (doc_id) left join f using (doc_id)
+    """
+
+
+def _components_sql(nodes: str, links: str) -> str:
+    """CTEs after ``nodes(id)`` and ``links(a, b)``: ``comp(id, component_id)``, by paths from every node."""
+    return f"""
+        {nodes}, {links},
+        both as (select a, b from links union select b, a from links),
+        reach(id, r) as (select id, id from nodes union select both.b, reach.r from reach join both on both.a = reach.id),
+        comp as (select id, min(r) as component_id from reach group by id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_vectors": "with recursive "
+    + _components_sql(
+        """nodes as (select vec_id as id from embeddings),
+        usable as (select vec_id, label, embedding::double[] as v from embeddings
+                   where label is not null and embedding is not null
+                     and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+                     and len(list_filter(embedding, x -> x <> 0)) > 0)""",
+        """links as (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
+                  where list_cosine_similarity(a.v, b.v) >= 0.98::double)""",
+    )
+    + """
+        select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+        from embeddings join comp on comp.id = vec_id
+        left join (select a, count(*) as n from both group by a) on a = vec_id
+    """,
+    "op5_jaccard": "with recursive "
+    + _components_sql(
+        """w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+        sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                        else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as s from w),
+        nodes as (select doc_id as id from documents),
+        tok as (select doc_id, len(s) as n, unnest(s) as t from sets)""",
+        """links as (select x.doc_id as a, y.doc_id as b from tok x join tok y on x.t = y.t and x.doc_id < y.doc_id
+                  group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*)))""",
+    )
+    + """
+        select doc_id, len(s)::bigint as n_shingles, component_id from sets join comp on comp.id = doc_id
+    """,
+    "op7_licences": _licence_sql(),
     "op4_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
         d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as payload_digest from p),
