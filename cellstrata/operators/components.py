@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", "m"), F.struct("v", "m"))).alias("x"))
+            .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
             .select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
             .where("u <> v")
             .distinct()
