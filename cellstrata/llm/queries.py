@@ -100,8 +100,8 @@ def _components_sql(nodes: str, links: str) -> str:
     """CTEs after ``nodes(id)`` and ``links(a, b)``: ``comp(id, component_id)``, by paths from every node."""
     return f"""
         {nodes}, {links},
-        both as (select a, b from links union select b, a from links),
-        reach(id, r) as (select id, id from nodes union select both.b, reach.r from reach join both on both.a = reach.id),
+        ends as (select a, b from links union select b, a from links),
+        reach(id, r) as (select id, id from nodes union select ends.b, reach.r from reach join ends on ends.a = reach.id),
         comp as (select id, min(r) as component_id from reach group by id)
     """
 
@@ -112,21 +112,21 @@ ORACLE_SQL: dict[str, str] = {
         """nodes as (select vec_id as id from embeddings),
         usable as (select vec_id, label, embedding::double[] as v from embeddings
                    where label is not null and embedding is not null
-                     and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-                     and len(list_filter(embedding, x -> x <> 0)) > 0)""",
+                     and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+                     and len([x for x in embedding if x <> 0]) > 0)""",
         """links as (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
                   where list_cosine_similarity(a.v, b.v) >= 0.98::double)""",
     )
     + """
         select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
         from embeddings join comp on comp.id = vec_id
-        left join (select a, count(*) as n from both group by a) on a = vec_id
+        left join (select a, count(*) as n from ends group by a) on a = vec_id
     """,
     "op5_jaccard": "with recursive "
     + _components_sql(
-        """w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+        """w as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] as w from documents),
         sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-                        else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as s from w),
+                        else list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
         nodes as (select doc_id as id from documents),
         tok as (select doc_id, len(s) as n, unnest(s) as t from sets)""",
         """links as (select x.doc_id as a, y.doc_id as b from tok x join tok y on x.t = y.t and x.doc_id < y.doc_id
