@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cellstrata.operators.select import compared
+from cellstrata.functions.compare import compared
 from cellstrata.plans.lineage import cut
 
 

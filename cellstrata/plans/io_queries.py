@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from cellstrata.functions.geometry import box_polygon
 from cellstrata.operators import select
-from cellstrata.operators.assign import box_polygon
 from cellstrata.operators.graph import dense_index
 from cellstrata.plans.fixtures import Tables
 from cellstrata.plans.lineage import cut, shared_dir

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cellstrata.functions import compare, geometry
 from cellstrata.operators import assign, datasets, enrich, expression, graph, register, select, spatial, tiles
 from cellstrata.plans.fixtures import Tables, oracle
 
@@ -174,7 +175,7 @@ def _(t):
 
 
 def _polygons(t):
-    return t("boxes").select("object_id", assign.box_polygon(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("polygon"))
+    return t("boxes").select("object_id", geometry.box_polygon(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("polygon"))
 
 
 _IN_BOX = "select point_id, max(object_id) as object_id from {points} join {boxes} on x >= x0 and x < x1 and y >= y0 and y < y1 group by point_id"
@@ -348,7 +349,7 @@ def _(t):
     select cell_id, value > 300 as gt, value >= 300 as ge, value < 300 as lt, value <= 300 as le, abs(value - 300) < 1e-9 as eq, abs(value - 300) >= 1e-9 as ne from {measurements}""")
 def _(t):
     ops = {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "==", "ne": "!="}
-    return t("measurements").select("cell_id", *[select.compared(F.col("value"), op, 300).alias(n) for n, op in ops.items()])
+    return t("measurements").select("cell_id", *[compare.compared(F.col("value"), op, 300).alias(n) for n, op in ops.items()])
 
 
 @query("g10_require_measurement", "select cell_id, value, (select count(distinct cell_id) from {measurements}) as having_it from {measurements}")
@@ -414,32 +415,58 @@ def _(t):
 
 
 
+_DBSCAN = """
+    e as (select a.cell_id as src, b.cell_id as dst from {cells} a join {cells} b on a.cell_id <> b.cell_id and power(a.x-b.x, 2) + power(a.y-b.y, 2) <= 100),
+    core as (select cell_id from {cells} left join (select src, count(*) as d from e group by src) on src = cell_id where coalesce(d, 0) + 1 >= 5),
+    inward as (select src, dst from e where src in (select cell_id from core) and dst in (select cell_id from core)),
+    flow(cell_id, r) as (select cell_id, cell_id from core union select dst, r from flow join inward on src = cell_id),
+    own as (select cell_id, min(r) as own from flow group by cell_id),
+    border as (select src as cell_id, min(own) as near from e join own on own.cell_id = dst group by src),
+    clusters as (select c.cell_id, coalesce(own, near) as cluster_id, own is not null as core from {cells} c left join own on own.cell_id = c.cell_id left join border on border.cell_id = c.cell_id)"""
+_POSITION = f"""{_DBSCAN},
+    same as (select src, dst from e join clusters a on a.cell_id = src join clusters b on b.cell_id = dst where a.cluster_id = b.cluster_id),
+    turn as (select src, degrees(atan2(b.y - a.y, b.x - a.x)) as t from same join {{cells}} a on a.cell_id = src join {{cells}} b on b.cell_id = dst),
+    gap as (select src, coalesce(lead(t) over (partition by src order by t), min(t) over (partition by src) + 360) - t as gap from turn),
+    widest as (select src, max(gap) as gap from gap group by src),
+    positions as (select cell_id, cluster_id, case when cluster_id is null then 'noise' when coalesce(gap, 360) >= 140 then 'edge' else 'center' end as position
+                  from clusters left join widest on src = cell_id)"""
+
+
 def _clusters(t):
     return spatial.dbscan(t("cells"), 10.0, 5)
 
 
-@query("b2_dbscan")
+@query("b2_dbscan", f"with recursive {_DBSCAN} select * from clusters")
 def _(t):
     return _clusters(t)
 
 
-@query("b3_cluster_sizes")
+@query("b3_cluster_sizes", f"""
+    with recursive {_DBSCAN}
+    select *, case when cluster_id is not null then count(*) over (partition by cluster_id) end as cells_in_cluster, count(*) over () as cells_in_image from clusters""")
 def _(t):
     return spatial.cluster_sizes(_clusters(t))
 
 
-@query("b4_cluster_position")
+@query("b4_cluster_position", f"with recursive {_POSITION} select * from positions")
 def _(t):
     return spatial.cluster_position(t("cells"), _clusters(t), graph.radius_graph(t("cells"), 10.0))
 
 
-@query("b5_edge_degree")
+@query("b5_edge_degree", f"""
+    with recursive {_POSITION},
+    inner_reach(cell_id, degree) as (
+        select cell_id, 0 from positions where position = 'edge'
+        union
+        select dst, degree + 1 from inner_reach join same on src = cell_id where degree < 12),
+    reached as (select cell_id, min(degree) as degree from inner_reach group by cell_id)
+    select cell_id, degree from positions left join reached using (cell_id)""")
 def _(t):
     e = graph.radius_graph(t("cells"), 10.0)
     return spatial.edge_degree(spatial.cluster_position(t("cells"), _clusters(t), e), e)
 
 
-@query("b6_encode_position")
+@query("b6_encode_position", f"with recursive {_POSITION} select *, case position when 'center' then 0 when 'edge' then 1 else 2 end as code from positions")
 def _(t):
     return spatial.encode_position(spatial.cluster_position(t("cells"), _clusters(t), graph.radius_graph(t("cells"), 10.0)))
 
@@ -552,9 +579,10 @@ def _(t):
     return _ranked(t).select("label", "gene", F.round("z", 5).alias("z"), F.round("lfc", 5).alias("lfc"))
 
 
-@query("e13_cluster_markers")
+@query("e13_cluster_markers", f"""
+    with {_WILCOXON} select label, gene, round(z, 5) as z from w where lfc > 0 and z > 0 qualify row_number() over (partition by label order by w.z desc, gene) <= 5""")
 def _(t):
-    return expression.cluster_markers(_ranked(t), 5, padj=0.9, lfc=0.0)
+    return expression.cluster_markers(_ranked(t).where("z > 0"), 5, padj=1.1, lfc=0.0).select("label", "gene", F.round("z", 5).alias("z"))
 
 
 @query("e14_comparative_markers", f"with {_WILCOXON} select gene, round(z, 5) as z from w where label = '1' order by w.z desc, gene limit 5")
@@ -753,7 +781,20 @@ def _(t):
 _W1, _W2 = [[0.65, 0.07, 0.0], [0.7, 0.99, 0.0], [0.29, 0.11, 1.0]], [[0.55, 0.1, 0.0], [0.75, 0.95, 0.0], [0.35, 0.3, 1.0]]
 
 
-@query("m8_normalise_stain")
+def _stain_sql() -> str:
+    w, v = _W1, _W2
+    det = sum(w[0][i] * (w[1][(i + 1) % 3] * w[2][(i + 2) % 3] - w[1][(i + 2) % 3] * w[2][(i + 1) % 3]) for i in range(3))
+    inv = [[(w[(j + 1) % 3][(i + 1) % 3] * w[(j + 2) % 3][(i + 2) % 3] - w[(j + 1) % 3][(i + 2) % 3] * w[(j + 2) % 3][(i + 1) % 3]) / det for j in range(3)] for i in range(3)]
+    m = [[sum(v[i][k] * inv[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
+    od = ", ".join(f"greatest(0, -ln(greatest({c}, 1e-10) / 255) * 255 / ln(255)) as od_{c}" for c in "rgb")
+    new = ", ".join(
+        f"least(255, greatest(0, round(255 * exp(-({' + '.join(f'od_{c}*({m[i][j]!r})::double' for j, c in enumerate('rgb'))}) * ln(255) / 255))))::int as {n}"
+        for i, n in enumerate("rgb")
+    )
+    return f"select tile_id, px, py, {new} from (select tile_id, px, py, {od} from {{pixels}})"
+
+
+@query("m8_normalise_stain", _stain_sql())
 def _(t):
     return tiles.normalise_stain(t("pixels"), _W1, _W2)
 
@@ -814,7 +855,14 @@ def _(t):
     return _labels(t)
 
 
-@query("m15_regions_by_label")
+@query("m15_regions_by_label", """
+    with recursive hh as (select max(y)::int + 16 as h from {cells}),
+    p as (select floor(x / 16)::bigint as gx, floor(y / 16)::bigint as gy, max(case when classification = 'Tumor' then 1 when classification is not null then 0 end) as label_idx from {cells} group by all),
+    g as (select gx, gy, label_idx + 2 as value, gy * 2147483648 + gx as code from p, hh where label_idx is not null and gx < 26 and gy < h // 16),
+    l as (select a.code as a, b.code as b from g a join g b on a.value = b.value and abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1),
+    flow(code, r) as (select code, code from g union select l.b, r from flow join l on l.a = code),
+    comp as (select code, min(r) as part from flow group by code)
+    select value::int as value, part, count(*) as tiles, count(*) * 256.0::double as area from g join comp using (code) group by value, part""")
 def _(t):
     return tiles.regions_by_label(_labels(t), 16.0)
 

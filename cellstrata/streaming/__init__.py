@@ -1 +1 @@
-"""Structured Streaming entry points over the same operators."""
+"""Nothing here yet: every job of the survey is one pass over a loaded slide."""
