@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cellstrata.operators.components import connected_components
 from cellstrata.plans.lineage import cut, written
@@ -41,7 +41,7 @@ _HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _P = np.uint64(0x100000001B3)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 EXTRA = 3  # k above
-_BROADCAST = 1_000_000  # ids
+_BROADCAST = 1_000_000  # rows of two or three numbers
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,8 +141,13 @@ def signatures(documents: DataFrame, key: str, text: str, n: int, percent: int,
     )
 
 
-def verified(pairs: DataFrame, documents: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those pairs ``(a, b)`` whose whole sets have the similarity."""
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if it has at most ``_BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= _BROADCAST else df
+
+
+def verified(pairs: DataFrame, documents: DataFrame, key: str, text: str, n: int, percent: int, repeats: bool) -> DataFrame:
+    """Those pairs ``(a, b)`` whose whole sets have the similarity; ``repeats``: ids may occur in several rows."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +165,11 @@ def verified(pairs: DataFrame, documents: DataFrame, key: str, text: str, n: int
             out.append(100 * same >= percent * (len(both) - same))
         return pa.array(out, pa.bool_())
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if ids.count() <= _BROADCAST:
-        ids = F.broadcast(ids)
-    docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    found = written(docs.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "sets")
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(small(ids), "id", "left_semi")
+    found = docs.mapInArrow(sets, "id long, s binary")
+    if repeats:
+        found = found.dropDuplicates(["id"])
     return (
         pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         .join(found.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -192,9 +197,13 @@ def open_groups(sets: DataFrame, percent: int) -> DataFrame:
 
     ``sets`` has ``id, n, lead, comp, grp``.
     """
-    token = sets.select("id", "n", "comp", "grp", F.least(F.lit(EXTRA), F.ceil(F.col("n") * percent / 100)).alias("k"), F.explode("lead").alias("token"))
-    several = token.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    token = written(token.join(several, "token", "left_semi"), "tokens")
+    token = sets.select("id", "comp", F.explode("lead").alias("token"))
+    w = Window.partitionBy("token")
+    token = token.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high")
+    token = cut(token.select("token", "id"))
+    k = F.least(F.lit(EXTRA), F.ceil(F.col("n") * percent / 100))
+    owner = cut(sets.select("id", "n", "comp", "grp", k.alias("k")).join(token.select("id").distinct(), "id", "left_semi").distinct())
+    token = cut(token.join(small(owner), "id"))
     matrix = token.groupBy("token", "grp").agg(
         F.first("comp").alias("g_comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("g_k")
     )
@@ -215,21 +224,24 @@ def open_groups(sets: DataFrame, percent: int) -> DataFrame:
 
 def join_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, group: int = 64) -> DataFrame:
     """``(id, n, component)`` for every document; ``component`` is the smallest id reachable by links."""
-    rest = (key, text, n, percent)
     signed = written(signatures(documents, key, text, n, percent, common_tokens(documents, text, n)), "signed")
-    distinct = signed.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("node"))
-    nodes = distinct.select(F.col("node").alias("id")).distinct()
-    sets = written(signed.select("id", "n", "mins", "lead").join(nodes, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    ids = signed.agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids")).first()
+    rest = (key, text, n, percent, ids["rows"] > ids["ids"])
+    distinct = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("node")))
+    nodes = cut(distinct.select(F.col("node").alias("id")).distinct())
+    sets = signed.select("id", "n", "mins", "lead").join(small(nodes), "id", "left_semi")
 
     first = cut(verified(cut(similar_to_first(sets)), documents, *rest))
     near = connected_components(first, "a", "b")
-    comp = sets.select("id", "n", "lead").join(near.withColumnRenamed("node", "id"), "id", "left")
-    comp = comp.withColumn("comp", F.coalesce("component", "id")).drop("component")
-    parts = near.groupBy(F.col("component").alias("comp")).agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))
-    grouped = comp.join(parts, "comp", "left").withColumn(
-        "grp", F.when(F.col("parts") > 1, F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.xxhash64("comp", F.lit(0)))
+    parts = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    near = cut(near.join(parts, "component").select(F.col("node").alias("id"), "component", F.xxhash64("component", part).alias("part")))
+    grouped = (
+        sets.select("id", "n", "lead")
+        .join(small(near), "id", "left")
+        .select("id", "n", "lead", F.coalesce("component", "id").alias("comp"), F.coalesce("part", F.xxhash64("id", F.lit(0))).alias("grp"))
     )
-    second = verified(cut(open_groups(grouped.drop("parts"), percent)), documents, *rest)
+    second = verified(cut(open_groups(grouped, percent)), documents, *rest)
     links = first.union(second)
     whole = connected_components(links, "a", "b").withColumnRenamed("component", "c")
     node = distinct.join(whole, "node", "left").select("f1", "f2", F.coalesce("c", "node").alias("c"))
