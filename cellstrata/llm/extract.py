@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cellstrata.llm.labelled import sampled
+
 #: Elements that begin and end a block; elements without content; raw text; elements whose start ends an open p.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -282,13 +284,8 @@ def labelled_pages(pages: DataFrame, key: str, html: str, rows: int, chars: int)
     for page in LABELLED:
         blocks = leaf_blocks(page)
         out += [([features(b, i, len(blocks)) for i, b in enumerate(blocks)], [b.label for b in blocks])] * 4
-    sample = (
-        pages.select(F.col(key).alias("k"), F.col(html).alias("h"))
-        .where(F.length("h").between(1, chars))
-        .orderBy(F.xxhash64("k"), "k", F.xxhash64("h"))
-        .limit(rows)
-        .collect()
-    )
+    some = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).where(F.length("h").between(1, chars))
+    sample = sampled(some, "k", rows, repeats=True).limit(2 * rows).collect()
     for row in sample:
         blocks = leaf_blocks(row["h"])
         labels = _own_labels(blocks)

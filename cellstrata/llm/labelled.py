@@ -12,14 +12,17 @@ def remainder(key: Column | str, divisor: int) -> Column:
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % divisor
 
 
-def sampled(rows: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+def sampled(rows: DataFrame, key: str, most: int, by: str | None = None, repeats: bool = False) -> DataFrame:
     """About ``most`` rows (of each value of ``by``), those of least hash of the key; all of them where there are fewer.
 
     The share to keep comes from partially aggregated counts, so nothing is
     sorted and no group is gathered. The result may exceed ``most`` by chance,
-    by a few times its square root.
+    by a few times its square root. Where keys may repeat or be null
+    (``repeats``), the place of the row counts in the hash, so that a key that
+    very many rows share does not come with all of them.
     """
-    mark = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_WHOLE))
+    place = F.monotonically_increasing_id() if repeats else F.lit("sample")
+    mark = F.pmod(F.xxhash64(key, place), F.lit(_WHOLE))
     groups = [by] if by else []
     counts = {(r[by] if by else None): r["n"] for r in rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).collect()}
     bound = F.lit(_WHOLE)

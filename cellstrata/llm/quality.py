@@ -176,7 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", positives:
     docs = documents.select("doc_id", F.col(text).alias("t"))
     positive_ids = sampled(train.where("label = 1"), "doc_id", positives).select("doc_id")
     x_p = _table(with_figures(docs.join(F.broadcast(positive_ids), "doc_id", "left_semi"), "t"))
-    x_u = _table(with_figures(sampled(docs, "doc_id", unlabelled), "t"))
+    x_u = _table(with_figures(sampled(docs, "doc_id", unlabelled, repeats=True), "t"))
     if not len(x_p) or not len(x_u):
         return float(bool(len(x_p)))
     model = learn(x_p, x_u, prior)

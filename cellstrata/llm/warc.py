@@ -32,6 +32,7 @@ import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from cellstrata.llm.labelled import sampled
 from cellstrata.plans.lineage import shared_dir, written
 
 _SKIP = 0x184D2A5D  # the skippable frame that holds a dictionary
@@ -150,13 +151,8 @@ def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
 def dictionary(pages: DataFrame, rows: int = 400, chars: int = 8000, size: int = 32_768) -> bytes:
     """A dictionary from a bounded sample of pages (it affects sizes only, no content)."""
-    sample = (
-        pages.select("page_id", F.substring("html", 1, chars).alias("html"))
-        .where("html is not null and html <> ''")
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(rows)
-        .collect()
-    )
+    some = pages.select("page_id", F.substring("html", 1, chars).alias("html")).where("html is not null and html <> ''")
+    sample = sampled(some, "page_id", rows, repeats=True).limit(2 * rows).collect()
     texts = [_http(len(r["html"])) + r["html"].encode() for r in sample]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
