@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cellstrata.llm import pii
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages(spark):
