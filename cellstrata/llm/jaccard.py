@@ -5,7 +5,7 @@ are one. The join runs in two steps; both only ever add links that have been
 verified on the whole sets.
 
 1. Groups. Documents that agree in two of a few minimum hashes are compared
-   with the smallest of them; the components of these links, cut into parts of
+   with the most central of them; the components of these links, cut into parts of
    bounded size, are the groups of similar documents.
 2. Token-group matrix. Each group keeps the union of its members' leading
    tokens with the range of their set sizes. The tokens of all sets are in one
@@ -13,7 +13,8 @@ verified on the whole sets.
    at least a = ceil(t * n) of them, hence at least k of its first n - a + k
    tokens, which therefore bound its overlap with a group: only where the
    document meets k tokens of a group's union, and their sizes allow it, is the
-   group opened and the document compared with its members. Groups of the same
+   group opened and the document compared with its members. A token
+   counts only where enough tokens follow it on both sides. Groups of the same
    component need not be opened: their documents are linked already.
 
 The order of the tokens takes common ones from counts over all documents; any
@@ -41,6 +42,7 @@ _HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _P = np.uint64(0x100000001B3)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 EXTRA = 3  # k above
+BATCH = 1000
 _BROADCAST = 1_000_000  # rows of two or three numbers
 
 
@@ -63,7 +65,7 @@ def token_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def common_tokens(documents: DataFrame, text: str, n: int, most: int = 1 << 18, at_once: int = 3_000_000, share: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
+def common_tokens(documents: DataFrame, text: str, n: int, most: int = 1 << 18, at_once: int = 1_000_000, share: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that a share of the documents of some block hold, with their counts: at most ``most``, rarest first.
 
     A block is what a task has read when it holds ``at_once`` tokens.
@@ -107,37 +109,38 @@ def need(n: np.ndarray | int, percent: int):
 
 
 def signatures(documents: DataFrame, key: str, text: str, n: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(id, n, f1, f2, mins, lead)``: size and fingerprint of a document's set, minimum hashes and leading tokens."""
+    """``(id, n, core, f1, f2, mins, lead)``: size of a document's set, common tokens in it (of a thousand), fingerprint, minimum hashes, leading tokens."""
     shared = documents.sparkSession.sparkContext.broadcast(common)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(s: np.ndarray) -> tuple:
         token, count = shared.value
+        size = len(s)
+        if not size:
+            return 0, 0, None, None, [], []
+        mins = [int(np.min(_mix(s * m)).view(np.int64)) for m in _HASHES]
+        rank = np.zeros(size, np.int64)
+        if len(token):
+            at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+            rank = np.where(token[at] == s, count[at], 0)
+        least = need(size, percent)
+        lead = s[np.lexsort((s, rank))[: size - least + min(EXTRA, least)]]
+        f = xxhash.xxh3_128_digest(s.tobytes())
+        f1, f2 = (int.from_bytes(x, "little", signed=True) for x in (f[:8], f[8:]))
+        return size, 1000 * int(np.count_nonzero(rank)) // size, f1, f2, mins, lead.view(np.int64)
+
+    def signed(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        return pa.RecordBatch.from_arrays([ids, *columns], ["id", "n", "core", "f1", "f2", "mins", "lead"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                s = token_set(value.as_py(), n)
-                size = len(s)
-                if not size:
-                    rows.append((0, None, None, [], []))
-                    continue
-                mins = [int(np.min(_mix(s * m)).view(np.int64)) for m in _HASHES]
-                rank = np.zeros(size, np.int64)
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    rank = np.where(token[at] == s, count[at], 0)
-                least = need(size, percent)
-                lead = s[np.lexsort((s, rank))[: size - least + min(EXTRA, least)]]
-                f = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((size, int.from_bytes(f[:8], "little", signed=True), int.from_bytes(f[8:], "little", signed=True), mins, lead.view(np.int64)))
-            size, f1, f2, mins, lead = zip(*rows) if rows else ((),) * 5
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(mins, longs), pa.array(lead, longs)],
-                ["id", "n", "f1", "f2", "mins", "lead"],
-            )
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield signed(part.column(0), [one(token_set(value.as_py(), n)) for value in part.column(1)])
 
     return documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(
-        sign, "id long, n long, f1 long, f2 long, mins array<long>, lead array<long>"
+        sign, "id long, n long, core long, f1 long, f2 long, mins array<long>, lead array<long>"
     )
 
 
@@ -178,14 +181,20 @@ def verified(pairs: DataFrame, documents: DataFrame, key: str, text: str, n: int
     )
 
 
-def similar_to_first(sets: DataFrame) -> DataFrame:
-    """Pairs of a document and the smallest id that shares one of its minimum hashes, where they share two."""
-    keyed = sets.select("id", F.posexplode("mins").alias("j", "m"))
-    first = keyed.groupBy("j", "m").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+def similar_to_centre(sets: DataFrame) -> DataFrame:
+    """Pairs of a document and the centre of those that share one of its minimum hashes, where they share two.
+
+    The centre has the largest share of common tokens (of equals the smallest
+    id): of edited copies of a text, the one with the fewest edits, to which
+    most others are similar.
+    """
+    keyed = sets.select("id", "core", F.posexplode("mins").alias("j", "m"))
+    centre = keyed.groupBy("j", "m").agg(F.max(F.struct("core", (-F.col("id")).alias("id"))).alias("c"), F.count(F.lit(1)).alias("k"))
+    centre = centre.where("k > 1").select("j", "m", (-F.col("c.id")).alias("c"))
     return (
-        keyed.join(first, ["j", "m"])
-        .where("a < id")
-        .groupBy("a", F.col("id").alias("b"))
+        keyed.join(centre, ["j", "m"])
+        .where("c <> id")
+        .groupBy(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b"))
         .agg(F.count(F.lit(1)).alias("k"))
         .where("k >= 2")
         .select("a", "b")
@@ -197,22 +206,30 @@ def open_groups(sets: DataFrame, percent: int) -> DataFrame:
 
     ``sets`` has ``id, n, lead, comp, grp``.
     """
-    token = sets.select("id", "comp", F.explode("lead").alias("token"))
+    token = sets.select("id", "comp", F.posexplode("lead").alias("pos", "token"))
     w = Window.partitionBy("token")
     token = token.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high")
-    token = cut(token.select("token", "id"))
+    token = cut(token.select("token", "id", "pos"))
     k = F.least(F.lit(EXTRA), F.ceil(F.col("n") * percent / 100))
     owner = cut(sets.select("id", "n", "comp", "grp", k.alias("k")).join(token.select("id").distinct(), "id", "left_semi").distinct())
     token = cut(token.join(small(owner), "id"))
     matrix = token.groupBy("token", "grp").agg(
-        F.first("comp").alias("g_comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("g_k")
+        F.first("comp").alias("g_comp"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.min("k").alias("g_k"),
+        F.max(F.col("n") - F.col("pos")).alias("rest"),
     )
+    # what a document and the smallest partner in the group must share at least, and how many of it we ask for
+    share = F.greatest(F.ceil(F.col("n") * percent / 100), F.ceil((F.col("n") + F.col("low")) * percent / (100 + percent)))
+    asked = F.least("k", "g_k")
     met = (
         token.join(matrix.withColumnRenamed("grp", "g"), "token")
         .where((F.col("g_comp") < F.col("comp")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
+        .where((F.col("pos") <= F.col("n") - share + asked - 1) & (F.col("rest") >= share - asked + 1))
         .groupBy("id", "n", "k", "g")
         .agg(F.count(F.lit(1)).alias("met"), F.min("g_k").alias("g_k"))
-        .where(F.col("met") >= F.least("k", "g_k"))
+        .where(F.col("met") >= asked)
     )
     members = sets.select(F.col("grp").alias("g"), F.col("id").alias("other"), F.col("n").alias("m"))
     return (
@@ -223,15 +240,20 @@ def open_groups(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, group: int = 64) -> DataFrame:
-    """``(id, n, component)`` for every document; ``component`` is the smallest id reachable by links."""
+    """``(id, n, component)`` for every document; ``component`` is the smallest id reachable by links.
+
+    Sets the session's Arrow batches to at most ``BATCH`` rows: a batch of long
+    texts, or of pairs of their sets, is in memory on both sides of the pipe.
+    """
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     signed = written(signatures(documents, key, text, n, percent, common_tokens(documents, text, n)), "signed")
     ids = signed.agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids")).first()
     rest = (key, text, n, percent, ids["rows"] > ids["ids"])
     distinct = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("node")))
     nodes = cut(distinct.select(F.col("node").alias("id")).distinct())
-    sets = signed.select("id", "n", "mins", "lead").join(small(nodes), "id", "left_semi")
+    sets = signed.select("id", "n", "core", "mins", "lead").join(small(nodes), "id", "left_semi")
 
-    first = cut(verified(cut(similar_to_first(sets)), documents, *rest))
+    first = cut(verified(cut(similar_to_centre(sets)), documents, *rest))
     near = connected_components(first, "a", "b")
     parts = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))

@@ -309,7 +309,7 @@ def test_jaccard_against_brute_force(spark):
 
 def test_the_matrix_alone_finds_every_link(spark, monkeypatch):
     """Without the first step, all links have to come from the opened groups."""
-    monkeypatch.setattr(jaccard, "similar_to_first", lambda sets: sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "similar_to_centre", lambda sets: sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     rows = near_copies(seed=9, groups=25)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard.op5_jaccard(df).collect()), key=str) == brute_jaccard(rows)
