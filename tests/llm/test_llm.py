@@ -177,6 +177,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert out and np.mean([r.predicted == r.toxic for r in out]) > 0.95 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_toxicity_learns_verbatim_and_rare_expressions(spark):
+    r = random.Random(7)
+    rows, labels = [], []
+    for i in range(800):
+        bad = i % 4 == 0
+        lines = [" ".join(r.choice("alpha beta gamma delta epsilon zeta".split()) + str(r.randrange(60)) for _ in range(12)) for _ in range(3)]
+        if bad:
+            lines.insert(r.randrange(4), "vile wretch begone" if i % 200 else "lousy knave")
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = toxicity.fit_models(docs, toxicity.labelled(marks, "toxic"), "text", 4000, 1 << 18)
+    often, seldom = (models.ratio(words.word_hashes(t)) for t in ("vile wretch begone", "lousy knave"))
+    assert often.min() > 1 and 0.2 < seldom.min() <= seldom.max() < often.max()
+    out = toxicity.op3_toxicity(docs, marks).join(marks, "doc_id").where("held_out and doc_id % 200 <> 0").collect()
+    assert out and all(x.predicted == x.toxic for x in out)
+
+
 def test_toxicity_odd_cases(spark, odd):
     docs, labels = toy(spark)
     more = docs.unionByName(odd.select(docs.columns))
