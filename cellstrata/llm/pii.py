@@ -8,7 +8,8 @@ share one, and equal values get equal pseudonyms in every document:
 * card numbers of 13 to 19 digits: digits but the last are permuted, the Luhn
   digit is set anew;
 * IBANs: the digits of the account part are permuted, the check digits set anew;
-* telephone numbers: the digits after the country code are permuted;
+* telephone numbers, also of 8 to 15 digits after a plus without separators:
+  the digits after the country code are permuted;
 * social security numbers, IPv4 addresses, dates of 1800 to 2199: the index
   within all valid values is permuted. A date keeps its notation, and the same
   day in two notations gets the same day.
@@ -33,13 +34,25 @@ _DAYS = (189, 773)  # 189 * 773 = 146097 days, 400 Gregorian years
 
 _B, _E = r"(?<!\d)(?<!\d[.])", r"(?!\d)(?![.]\d)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Countries of each IBAN length, so that a match ends where the IBAN does and what follows it stays out.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(
+    rf"(?:{'|'.join(lands.split())})\d{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''})"
+    for n, lands in _IBAN_LENGTHS.items()
+)
+#: Country codes of telephone numbers written without separators: of one and two digits, else three.
+_LAND = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Fixed patterns, one for each kind; the order decides which wins at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+[.]){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Fa-f]{20,128}(?![0-9A-Za-z])",
-    "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+    "iban": rf"\b(?:{_IBANS})\b|" + r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "ip": _B + rf"{_OCTET}(?:[.]{_OCTET}){{3}}" + _E,
-    "phone": r"(?:(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}|"
+    "phone": r"(?:(?<!\d)\+\d(?:(?! \d{4}[/-]\d{2}[/-]\d{2})[ .-]?\(?\d\)?){7,14}(?<=\d\d)(?!\d)|(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}|"
     + _B
     + r"\d{3}[.-]\d{3}[.-]\d{4})"
     + r"(?!\d)",
@@ -171,7 +184,7 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    land = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    land = F.regexp_extract(m, r"^\+(?:\d{1,3}(?=[ .(-])|" + _LAND + ")", 0)
     rest = F.substring(m, F.length(land) + 1, F.length(m))
     return F.concat(land, _refill(rest, permute_digits(_digits(rest), key, "phone")))
 
@@ -259,7 +272,7 @@ def _kind(m: Column) -> Column:
         .when(whole("ssn"), F.when(_ssn_valid(m), "ssn"))
         .when(whole("date"), F.when(_date_valid(m), "date"))
         .when(whole("card"), F.when(luhn_sum(_digits(m)) % 10 == 0, "card"))
-        .when(n.between(9, 15), "phone")
+        .when(n.between(F.when(m.startswith("+"), 8).otherwise(9), 15), "phone")
     )
 
 

@@ -351,6 +351,28 @@ def plain_feistel(digits, key, tweak):
     return a + b
 
 
+def test_unseparated_phones_and_ibans_before_other_words(spark):
+    found = {
+        "+15551234567": "phone", "+4915112345678": "phone", "+49 151 12345678": "phone", "+49 30 123 45678": "phone", "+33 1 23 45 67 89": "phone",
+        "+44 (0)20 7946 0958": "phone", "+47123456": "phone", "+1 (555) 123-4567": "phone",
+        "GB82 WEST 1234 5698 7654 32": "iban", "BE68 5390 0754 7034": "iban", "AT61 1904 3002 3457 3201": "iban", "DE89370400440532013000": "iban",
+    }
+    ends = ("", " 2024", " OK", " 5 items", ".")
+    rows = [(f"{v}|{e}", f"call {v}{e}") for v in found for e in ends]
+    rows += [("two", "BE68 5390 0754 7034 4111 1111 1111 1111"), ("few", "+1234567"), ("day", "+15551234567 2024-01-02")]
+    out = {r.doc_id: r for r in pii.op6_pii(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for v, kind in found.items():
+        for e in ends:
+            r = out[f"{v}|{e}"]
+            assert r.kinds == [kind] and v not in r.text and len(r.text) == len(f"call {v}{e}"), (v, e, r)
+            if kind == "iban":
+                assert r.text.endswith(e) and r.text[5:7] == v[:2]
+                flat = r.text[5 : len(r.text) - len(e)].replace(" ", "")
+                assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert out["+15551234567|"].text[5:7] == "+1" and out["+4915112345678|"].text[5:8] == "+49"
+    assert out["two"].kinds == ["iban", "card"] and out["few"].kinds == [] and out["day"].kinds == ["phone", "date"]
+
+
 def test_pseudonyms(spark):
     card = "4845168114407329"
     text = (
