@@ -21,6 +21,7 @@ repeated rows pass through. An empty table trains on the package's pages only.
 from __future__ import annotations
 
 import re
+from collections.abc import Container
 from html import unescape
 
 import numpy as np
@@ -60,7 +61,8 @@ class Block:
         self.text, self.above, self.parent, self.links, self.label = text, above, parent, links, label
 
 
-def leaf_blocks(html: str) -> list[Block]:
+def leaf_blocks(html: str, known: Container[str] | None = None) -> list[Block]:
+    """Blocks in page order, with features of all their ancestors; of these only the ``known`` ones, where given."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
     parts: list[str] = []
@@ -142,9 +144,9 @@ def leaf_blocks(html: str) -> list[Block]:
             new = [f"t:{tag}"]
             if m[3]:
                 for a, b, c in _NAMES.findall(m[3]):
-                    new += [f"c:{w}" for w in _WORD.findall(_SPLIT_CASE.sub(" ", a or b or c).lower())[:8]]
-            if len(above) < 64:
-                above += tuple(x for x in dict.fromkeys(new) if x not in above)
+                    new += [f"c:{w}" for w in _WORD.findall(_SPLIT_CASE.sub(" ", a or b or c).lower())]
+            have = set(above)
+            above += tuple(x for x in dict.fromkeys(new) if x not in have and (known is None or x in known))
             stack.append((tag, above, "data-article" in m[3]))
         elif tag == "a":
             in_link = True
@@ -228,20 +230,19 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], steps: int = 150, rat
         for f in (f for b in blocks for f in b):
             index.setdefault(f, len(index) + 1)
     n, t = len(pages), max(len(b) for b, _ in pages)
-    width = max(len(f) for b, _ in pages for f in b)
-    x = np.zeros((n, t, width), np.int64)
+    places = [(i * t + j, f) for i, (blocks, _) in enumerate(pages) for j, f in enumerate(blocks)]
+    row = np.repeat([k for k, _ in places], [len(f) for _, f in places])
+    x = np.fromiter((index[k] for _, f in places for k in f), np.int64, len(row))
     y, mask = np.zeros((n, t), np.int64), np.zeros((n, t), bool)
     for i, (blocks, labels) in enumerate(pages):
         mask[i, : len(blocks)], y[i, : len(blocks)] = True, labels
-        for j, f in enumerate(blocks):
-            x[i, j, : len(f)] = [index[k] for k in f]
-    # parameters: one for each feature (0 is padding), four for turns, one for the start
+    # parameters: one for each feature (from 1 on), four for turns, one for the start
     w = np.zeros(len(index) + 6)
     first, second = np.zeros_like(w), np.zeros_like(w)
     inside = mask[:, 1:]
     for step in range(1, steps + 1):
         node = np.zeros((n, t, 2))
-        node[:, :, 1] = w[x].sum(-1)
+        node[:, :, 1] = np.bincount(row, w[x], n * t).reshape(n, t)
         node[:, 0, 1] += w[-1]
         turn = w[-5:-1].reshape(2, 2)
         fwd, bwd = np.zeros((n, t, 2)), np.zeros((n, t, 2))
@@ -256,7 +257,7 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], steps: int = 150, rat
         p = np.exp(fwd + bwd - z[:, None, None])[:, :, 1]
         pair = np.exp(fwd[:, :-1, :, None] + turn + (node[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * inside[:, :, None, None]
         gap = (y - p) * mask
-        grad = np.bincount(x.ravel(), np.repeat(gap.ravel(), width), len(w))
+        grad = np.bincount(x, gap.ravel()[row], len(w))
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[:, :-1][inside], y[:, 1:][inside]), 1)
         grad[-5:-1] = (seen - pair.sum((0, 1))).ravel()
@@ -308,7 +309,7 @@ def extract(pages: DataFrame, model: Chain, html: str = "html", into: str = "tex
     @F.arrow_udf("string")
     def main_text(batch: pa.Array) -> pa.Array:
         def one(page: str | None) -> str:
-            blocks = leaf_blocks(page or "")
+            blocks = leaf_blocks(page or "", model.weights)  # what the model does not know has no weight
             return "\n".join(b.text for b, label in zip(blocks, model.decode(blocks)) if label)
 
         return pa.array((one(value.as_py()) for value in batch), pa.string())

@@ -487,6 +487,14 @@ def test_labelled_pages_are_learnt_and_odd_pages_do_no_harm(spark):
         assert model.decode(blocks) == [b.label for b in blocks]
 
 
+def test_innermost_ancestors_of_deep_pages_count():
+    many = [a + b for a in "qwxz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    page = "".join(f"<div class='{w}'>" for w in many) + f"<p>Story.</p><nav class='{' '.join(many[:9])} late'><ul><li>Home</ul></nav>"
+    story, menu = extract.leaf_blocks(page)
+    assert {"t:nav", "t:ul", "c:late", *(f"c:{w}" for w in many)} <= set(menu.above) and "t:nav" not in story.above
+    assert extract.leaf_blocks(page, {"t:nav", "c:late"})[1].above == ("t:nav", "c:late")
+
+
 def test_viterbi_against_all_labelings():
     import itertools
 
