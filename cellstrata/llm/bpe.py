@@ -5,12 +5,14 @@ byte positions of the match holds, for every live token, the key
 ``(rank of the pair with its right neighbour, position)`` and at its root the
 leftmost pair of least rank; a merge updates the three leaves it touches, so a
 match of n bytes costs O(n log n) whatever it holds (one "word" may be a whole
-document). New matches of up to 64 bytes are merged many at a time, each on its
+document). New matches of up to 64 bytes are merged some thousand at a time, each on its
 own tree, by array operations over all of them.
 
 Cases: null text counts as empty; an empty text has no ids; a null id list
-decodes to empty bytes; ids outside the vocabulary raise. Other columns and
-repeated rows pass through unchanged.
+decodes to empty bytes; ids outside the vocabulary raise; of equal ranks the
+leftmost merges first; a text is one value of any length. Repeated rows are
+encoded alike, other columns pass through unchanged; ``token_ids`` and
+``n_tokens`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellstrata.llm.memory import give_back
+
 _NONE = 1 << 62
 _SHIFT = 34
 _MASK = (1 << _SHIFT) - 1
+_SMALL_NONE = (1 << 31) - 1  # as _NONE, in trees of up to 64 bytes
+_SIDE_BY_SIDE = 4096  # trees at once: what they hold stays in a core's cache
 
 
 def rank_file() -> tuple[str, str]:
@@ -115,7 +121,7 @@ class _Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, or _NONE."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.pair_rank[at], _NONE)
 
@@ -124,22 +130,22 @@ class _Vocabulary:
 
         Returns all ids in order, and the number of ids of each word.
         """
-        n_words, most = len(words), np.int64(size)
-        lengths = np.fromiter(map(len, words), np.int64, n_words)
+        n_words, most, none = len(words), np.int32(size), np.int32(_SMALL_NONE)
+        lengths = np.fromiter(map(len, words), np.int32, n_words)
         raw = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8).reshape(n_words, size)
         inside = np.arange(size) < lengths[:, None]
         if (self.byte[raw][inside] < 0).any():
             raise ValueError("a byte is not in the vocabulary")
-        token = np.full((n_words, size + 1), -1, np.int64)  # id of the live token that starts here; the last column stays -1
+        token = np.full((n_words, size + 1), -1, np.int32)  # id of the live token that starts here; the last column stays -1
         token[:, :size][inside] = self.byte[raw][inside]
-        after = np.tile(np.minimum(np.arange(1, size + 2), size), (n_words, 1))
+        after = np.tile(np.minimum(np.arange(1, size + 2), size).astype(np.int32), (n_words, 1))
         after = np.where(after < lengths[:, None], after, most)
-        before = np.tile(np.arange(-1, size), (n_words, 1))
-        tree = np.full((n_words, 2 * size), _NONE, np.int64)
+        before = np.tile(np.arange(-1, size, dtype=np.int32), (n_words, 1))
+        tree = np.full((n_words, 2 * size), none, np.int32)
 
         def leaf(left, right, at):
             rank = self.rank_of(left, right)
-            return np.where(rank == _NONE, _NONE, rank << _SHIFT | at)
+            return np.where(rank == _NONE, none, rank * size + at).astype(np.int32)
 
         tree[:, size : 2 * size - 1] = leaf(token[:, : size - 1], token[:, 1:size], np.arange(size - 1))
         width = size // 2
@@ -147,26 +153,25 @@ class _Vocabulary:
             below = tree[:, 2 * width : 4 * width]
             tree[:, width : 2 * width] = np.minimum(below[:, 0::2], below[:, 1::2])
             width //= 2
-        live = np.flatnonzero(tree[:, 1] != _NONE)
+        live = np.flatnonzero(tree[:, 1] != none)
         while len(live):
-            root = tree[live, 1]
-            at, rank = root & _MASK, root >> _SHIFT
+            rank, at = np.divmod(tree[live, 1], most)
             gone = after[live, at]
             token[live, at], token[live, gone] = rank, -1
             far = after[live, gone]
             after[live, at] = far
             before[live, far] = at
             prior = before[live, at]
-            tree[live, size + gone] = _NONE
+            tree[live, size + gone] = none
             tree[live, size + at] = leaf(rank, token[live, far], at)
             some = prior >= 0
             who, left = live[some], prior[some]
             tree[who, size + left] = leaf(token[who, left], rank[some], left)
-            rows, nodes = np.concatenate([live, live, who]), np.concatenate([gone, at, left]) + size
+            rows, nodes = np.concatenate([live, live, who]), np.concatenate([gone, at, left]) + most
             for _ in range(size.bit_length() - 1):
                 nodes >>= 1
                 tree[rows, nodes] = np.minimum(tree[rows, 2 * nodes], tree[rows, 2 * nodes + 1])
-            live = live[tree[live, 1] != _NONE]
+            live = live[tree[live, 1] != none]
         kept = token >= 0
         return token[kept], kept.sum(1)
 
@@ -187,10 +192,12 @@ class _Vocabulary:
             else:
                 by_size.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append((match, word))
         for size, pairs in by_size.items():
-            ids, counts = self.merge_many([word for _, word in pairs], size)
-            packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            for (match, _), start, end in zip(pairs, [0, *ends], ends):
-                self.known[match] = packed[start:end]
+            for k in range(0, len(pairs), _SIDE_BY_SIDE):
+                part = pairs[k : k + _SIDE_BY_SIDE]
+                ids, counts = self.merge_many([word for _, word in part], size)
+                packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                for (match, _), start, end in zip(part, [0, *ends], ends):
+                    self.known[match] = packed[start:end]
 
     def packed(self, texts, split, most: int, at_once: int = 100_000):
         """Packed ids of each text; matches are learnt some texts at a time, so few are in memory."""
@@ -224,14 +231,19 @@ def _tokens(path: str) -> dict[int, bytes]:
 def encode(text: Column | str, path: str, pattern: str, memo: int = 400_000) -> Column:
     """Ids of a text, packed as little-endian unsigned 32-bit integers.
 
-    ``memo`` bounds the matches whose ids one Python worker remembers (about
-    0.2 kB each); it changes no result.
+    ``memo`` bounds the matches whose ids are remembered within a batch (about
+    0.2 kB each); it changes no result. Workers are used again, so the memory
+    is given back after the batch.
     """
 
     @F.arrow_udf("binary")
     def packed(batch: pa.Array) -> pa.Array:
-        texts = (value.as_py() for value in batch)
-        return pa.array(_vocabulary(path).packed(texts, regex.compile(pattern).findall, memo), pa.binary())
+        vocabulary = _vocabulary(path)
+        out = pa.array(vocabulary.packed((value.as_py() for value in batch), regex.compile(pattern).findall, memo), pa.binary())
+        if len(vocabulary.known) > memo // 16:
+            vocabulary.known.clear()
+            give_back()
+        return out
 
     return packed(F.col(text) if isinstance(text, str) else text)
 

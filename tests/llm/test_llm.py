@@ -463,6 +463,66 @@ def test_leaks_and_paraphrases(spark):
     assert blocks == got
 
 
+def brute_leaks(docs, items, weight, share=0.7, loose=0.5, answer=0.8):
+    """The rule at every place of every text, without retrieval."""
+    known = [decontaminate.Item(i, t, weight) for i, t in items if t and len(words.word_hashes(t))]
+    out = set()
+    for d, t in docs:
+        w = words.word_hashes(t)
+        for x in known:
+            n = len(x.words)
+            for s in np.flatnonzero(np.isin(w, x.words)):
+                around = w[max(0, s - n) : s + decontaminate.WINDOW + n]
+                if n < decontaminate.MIN_WORDS:
+                    held = any(np.array_equal(around[k : k + n], x.words) for k in range(len(around) - n + 1))
+                elif x.within(around) < loose:
+                    continue
+                else:
+                    whole, end = x.overlap(around)
+                    held = whole >= share or (whole >= loose and end >= answer)
+                if held:
+                    out.add((d, x.id))
+                    break
+    return out
+
+
+def paraphrased(seed, every, short):
+    """Documents, items, of these some short; each item once with a word in ``every`` replaced, and some hosts without any."""
+    r = random.Random(seed)
+    common = ["the", "of", "and", "to", "in", "is", "it", "on"]
+    word = lambda: r.choice(common) if r.random() < 0.35 else "".join(r.choice("aeioubdfglmnprst") for _ in range(r.randrange(3, 9)))
+    items, docs = [], []
+    for k in range(60):
+        n = r.randrange(3, 12) if short else r.randrange(15, 60)
+        items.append((k, " ".join("".join(r.choice("aeioubdfglmnprst") for _ in range(6)) if short else word() for _ in range(n)) + "."))
+        ws = items[-1][1].rstrip(".").split()
+        for j in range(r.randrange(every), len(ws), every):
+            ws[j] = word()
+        host = [word() for _ in range(r.randrange(20, 200))]
+        at = r.randrange(len(host))
+        docs.append((k, " ".join(host[:at] + ws + host[at:])))
+    return docs + [(100 + k, " ".join(word() for _ in range(120))) for k in range(60)], items
+
+
+@pytest.mark.parametrize("every", [3, 4, 6])
+def test_recall_of_leaks_against_the_rule_everywhere(spark, every):
+    docs, items = paraphrased(every, every, False)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items, decontaminate.word_rarity(d, "text", 1 << 20))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, b).collect()}
+    assert len(want) >= (10 if every == 3 else 35) and got <= want and len(got) >= 0.99 * len(want)
+    if every == 4:
+        assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, b, exact=True).collect()} == want
+
+
+def test_short_items_are_found(spark):
+    docs, items = paraphrased(5, 1000, True)
+    docs += [(200, " ".join(["w"] * 30) + " " + items[0][1] + " " + "far away " * 60_000), (None, items[1][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, b).collect()}
+    assert got == brute_leaks(docs, items, decontaminate.word_rarity(d, "text", 1 << 20)) and {(200, 0), (None, 1)} < got
+
+
 # ---- 10 -----------------------------------------------------------------
 
 
