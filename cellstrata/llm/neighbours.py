@@ -9,10 +9,19 @@ double precision, so there is no false link; the number of tables is such that
 a pair at the threshold itself is missed with a probability of at most ``miss``
 (closer pairs much less).
 
+A bucket of more than ``MANY`` nodes names its smallest node as pivot. Nodes
+within half the threshold's angle of a pivot form a cell; all of them are linked
+with each other, so they are counted and joined by one edge each, and in such
+buckets only nodes of different cells are compared. The pairs of a large group
+of near vectors are thus neither made nor stored, and ``n_links`` stays exact.
+
 Cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label, link with nothing; vectors of
-different lengths never link; repeated ids count as vectors of their own; ties
-need no rule. An empty table gives no rows; other columns are ignored.
+different lengths never link; vectors are scaled by their largest component
+first, so very large and very small ones are compared like any other; repeated
+ids count as vectors of their own, a null id gets a null component if it links
+with nothing; ties need no rule. An empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +37,14 @@ from cellstrata.operators.components import connected_components
 from cellstrata.plans.lineage import cut, written
 
 
+MANY = 128
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Every row over its largest absolute value, so that squares neither overflow nor vanish."""
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of every row (its length is a power of two), scaled to a rotation."""
     n = x.shape[1]
@@ -57,6 +74,7 @@ class CrossPolytope:
 
     def buckets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own bucket ``[n, tables]`` and buckets to look into ``[n, tables * probes]`` (the own one first)."""
+        x = scaled(x)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         own, look = [], []
         for t in range(self.tables):
@@ -118,10 +136,13 @@ def nodes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     )
 
 
-def candidates(distinct: DataFrame, index: CrossPolytope) -> DataFrame:
-    """``(a, b)``, a below b: pairs of nodes of one label that share a bucket in some table."""
+_BUCKET = ["label", "width", "bucket"]
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hashed(distinct: DataFrame, index: CrossPolytope) -> tuple[DataFrame, DataFrame]:
+    """``(label, width, bucket, x)`` that nodes are filed under, and ``(label, width, bucket, y)`` that they look into."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, look = [None] * batch.num_rows, [None] * batch.num_rows
             for rows, x in _by_length(batch.column(2)):
@@ -135,11 +156,40 @@ def candidates(distinct: DataFrame, index: CrossPolytope) -> DataFrame:
             )
 
     label = distinct.schema["label"].dataType.simpleString()
-    h = distinct.select("node", "label", "v").mapInArrow(hashed, f"node long, label {label}, width long, own array<long>, look array<long>")
+    h = distinct.select("node", "label", "v").mapInArrow(codes, f"node long, label {label}, width long, own array<long>, look array<long>")
+    h = written(h, "hashes")
     filed = h.select("label", "width", F.explode("own").alias("bucket"), F.col("node").alias("x"))
-    asked = h.select("label", "width", F.explode("look").alias("bucket"), F.col("node").alias("y"))
-    both = filed.join(asked, ["label", "width", "bucket"]).where("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return filed, h.select("label", "width", F.explode("look").alias("bucket"), F.col("node").alias("y"))
+
+
+def similar(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """Those pairs of nodes ``(a, b)`` whose cosine is at least so much."""
+    at = distinct.select("node", "v")
+    both = pairs.join(at.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(at.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
+    c = cosine("va", "vb")
+    return both.where(~F.isnan(c) & (c >= least)).select("a", "b")
+
+
+def cells(filed: DataFrame, large: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """``(node, cell)`` of the nodes near a pivot ``p`` of the large buckets."""
+    pairs = filed.join(large, _BUCKET).select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
+    half = math.sqrt((1 + threshold) / 2) + 1e-9
+    near = similar(pairs.where("a <> b"), distinct, half).union(pairs.where("a = b"))
+    return near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("cell"))
+
+
+def candidates(filed: DataFrame, asked: DataFrame, large: DataFrame, cell: DataFrame) -> DataFrame:
+    """``(a, b)``, a below b: pairs of nodes of one label that share a bucket in some table, but those of one cell in large buckets."""
+    pairs = filed.join(large, _BUCKET, "left_anti").join(asked, _BUCKET).select("x", "y")
+
+    def with_cell(rows: DataFrame, name: str, to: str) -> DataFrame:
+        own = cell.select(F.col("node").alias(name), F.col("cell").alias(to))
+        return rows.join(large.drop("p"), _BUCKET).join(own, name, "left").withColumn(to, F.coalesce(to, name))
+
+    f, a = with_cell(filed, "x", "cx"), with_cell(asked, "y", "cy")
+    meet = f.select(*_BUCKET, "cx").distinct().join(a.select(*_BUCKET, "cy").distinct(), _BUCKET).where("cx <> cy")
+    pairs = pairs.union(meet.join(f, [*_BUCKET, "cx"]).join(a, [*_BUCKET, "cy"]).select("x", "y"))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 @F.arrow_udf(T.DoubleType())
@@ -147,7 +197,7 @@ def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     out = np.zeros(len(a))
     other = {n.shape[1]: (rows, n) for rows, n in _by_length(b)}
     for rows, x in _by_length(a):
-        y = other[x.shape[1]][1]
+        x, y = scaled(x), scaled(other[x.shape[1]][1])
         out[rows] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
     return pa.array(out)
 
@@ -157,28 +207,30 @@ def near_duplicates(
 ) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for every row of ``vectors``."""
     distinct = written(nodes(vectors, key, vector, label), "nodes")
-    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.count_distinct("label").alias("labels")).first()
-    index = plan(math.ceil((size["n"] or 0) / max(1, size["labels"])), size["width"] or 2, threshold, miss)
-    at = distinct.select("node", "v")
-    pairs = (
-        candidates(distinct, index)
-        .join(at.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
-        .join(at.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
-    )
-    links = cut(pairs.where(cosine("va", "vb") >= threshold).select("a", "b"))
-    component = connected_components(links, "a", "b")
+    size = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).agg(F.max("n").alias("n"), F.max("width").alias("width")).first()
+    filed, asked = hashed(distinct, plan(size["n"] or 0, size["width"] or 2, threshold, miss))
+    large = filed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("p"))
+    large = cut(large.where(F.col("k") > MANY).select(*_BUCKET, "p"))
+    cell = cut(cells(filed, large, distinct, threshold))
     copies = distinct.select("node", "copies")
+    links = similar(candidates(filed, asked, large, cell), distinct, threshold)
+    links = links.join(cell.select(F.col("node").alias("a"), F.col("cell").alias("ca")), "a", "left").join(cell.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b", "left")
+    links = cut(links.where("ca is null or cb is null or ca <> cb").select("a", "b"))  # those of a cell are counted as such
+    of_cell = cell.join(copies, "node").groupBy("cell").agg(F.min("node").alias("least"), F.sum("copies").alias("total"))
+    of_cell = cut(cell.join(of_cell, "cell").select("node", "least", "total"))
+    component = connected_components(links.union(of_cell.where("node <> least").select("node", "least")), "a", "b")
     both = links.union(links.select("b", "a"))
     degree = (
         both.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
     )
     found = (
         distinct.join(degree, "node", "left")
+        .join(of_cell, "node", "left")
         .join(component, "node", "left")
         .select(
             F.col("label").alias("l"),
             "v",
-            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"),
+            (F.coalesce("total", "copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"),
             F.coalesce("component", "node").alias("c"),
         )
     )

@@ -89,6 +89,25 @@ def test_vectors_against_brute_force(spark):
     assert neighbours.op1_near_vectors(df.limit(0)).count() == 0
 
 
+def test_large_groups_and_extreme_lengths(spark, monkeypatch):
+    """One label holds nine tenths of the rows, most of them near copies of one vector, some on the rim."""
+    monkeypatch.setattr(neighbours, "MANY", 20)
+    r = random.Random(3)
+    base = unit(r)
+    rows = [(k, [float(x) for x in base + r.choice([0.01, 0.05, 0.15, 0.2]) * unit(r)], 7) for k in range(160)]
+    rows += [(k, rows[k % 5][1], 7) for k in range(160, 170)]
+    rows += [(k, [float(x) for x in unit(r)], 7 if k % 2 else 8) for k in range(170, 200)]
+    big = [[1e200, 0.0], [0.0, 1e200], [1e-200, 0.0], [0.0, 1e-200], [5e-324, 0.0], [1e308, 1e308]]
+    rows += [(200 + k, v, 9) for k, v in enumerate(big)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: tuple(x) for x in neighbours.op1_near_vectors(df).collect()}
+    near = [x for x in rows if x[2] != 9]
+    f32 = lambda xs: [(k, [float(a) for a in np.float32(v)], c) for k, v, c in xs]
+    small = spark.createDataFrame(f32(near), "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, neighbours.op1_near_vectors(small).collect())) == brute_vectors(near)
+    assert [got[200 + k][1:3] for k in range(6)] == [(2, 200), (1, 201), (2, 200), (1, 201), (2, 200), (0, 205)]
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).standard_normal((5, 16))
     assert np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
