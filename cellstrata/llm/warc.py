@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from cellstrata.llm.labelled import sampled
-from cellstrata.plans.lineage import shared_dir, written
+from cellstrata.plans.lineage import cut, shared_dir, written
 
 _SKIP = 0x184D2A5D  # the skippable frame that holds a dictionary
 _MAGIC = 0xFD2FB528
@@ -126,25 +126,28 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
 # ---- operators ----------------------------------------------------------
 
 
-def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+def revisits(pages: DataFrame, min_bytes: int = 1000, most: int = 500_000) -> DataFrame:
     """``(page_id, url, payload, digest, refers_to)``; ``refers_to`` is null for responses.
 
     The largest key of each payload comes from a partially aggregated maximum,
-    so a payload that a third of the pages share is not gathered anywhere; the
-    join with it can be split by Spark where it is skewed.
+    so a payload that a third of the pages share is not gathered anywhere. Up to
+    ``most`` repeated payloads (some 60 bytes each) are broadcast, so that the
+    pages stay where they are; beyond, Spark joins by a shuffle, which it can
+    split where it is skewed.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
     last = (
-        pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-        .select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
-        .where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
-        .groupBy("digest", "n")
+        p.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
+        .select(F.unhex("digest").alias("sha1"), "n", "page_id")
+        .groupBy("sha1", "n")
         .agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
         .drop("copies")
     )
-    return p.join(last, ["digest", "n"], "left").select(
+    last = cut(last)
+    last = F.broadcast(last) if last.count() <= most else last
+    return p.withColumn("sha1", F.unhex("digest")).join(last, ["sha1", "n"], "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to")
     )
 
@@ -242,7 +245,10 @@ def _read_one(files: pafs.FileSystem, path: str, with_payload: bool) -> Iterator
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
-    """A row per response and revisit record of the files in the column ``file`` (URIs or paths)."""
+    """A row per response and revisit record of the files in the column ``file`` (URIs or paths).
+
+    The files are dealt to as many tasks as there are files, by name.
+    """
     schema = _READ + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -261,7 +267,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, batch_bytes: i
         if rows:
             yield pa.RecordBatch.from_pylist(rows, form)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(read, schema)
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)
 
 
 def op4_warc(pages: DataFrame) -> DataFrame:
