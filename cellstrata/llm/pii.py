@@ -14,13 +14,16 @@ share one, and equal values get equal pseudonyms in every document:
   within all valid values is permuted. A date keeps its notation, and the same
   day in two notations gets the same day.
 
-Mail addresses keep their domain and get a keyed local part; quoted secrets
-(``token = "..."`` and the like) get keyed digits of the same length and case.
+Mail addresses keep their domain and get a keyed local part; secrets
+(``token = "..."`` and the like: 20 hexadecimal digits or more, or 16 characters
+or more in quotes with a digit among them) get keyed characters of the same
+kinds, whatever their length.
 What fails its check (a 16-digit order number, say) stays as it is.
 
-Cases: null text stays null; a text without findings is returned unchanged;
-ties and repeated rows do not matter (each row is on its own); other columns
-pass through. Output columns ``text``, ``n_private`` and ``kinds`` replace
+Cases: null text stays null; an empty text and one without findings are returned
+unchanged; a text is read whole, whatever its length; of findings that begin at
+one place the first kind of ``PATTERNS`` counts; repeated rows do not matter
+(each row is on its own); other columns pass through, whatever their names. Output columns ``text``, ``n_private`` and ``kinds`` replace
 columns of the same name.
 """
 
@@ -46,10 +49,11 @@ _IBANS = "|".join(
 )
 #: Country codes of telephone numbers written without separators: of one and two digits, else three.
 _LAND = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_NAMED = r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3})"
 #: Fixed patterns, one for each kind; the order decides which wins at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+[.]){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[0-9A-Fa-f]{20,128}(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+[.]){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9-])",
+    "secret": _NAMED + r"(?:[\"']?[0-9A-Fa-f]{20,}+(?![0-9A-Za-z])|[\"'](?=[^\"'\s]*[0-9])[A-Za-z0-9_./+=-]{16,}+(?=[\"']))",
     "iban": rf"\b(?:{_IBANS})\b|" + r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "ip": _B + rf"{_OCTET}(?:[.]{_OCTET}){{3}}" + _E,
     "phone": r"(?:(?<!\d)\+\d(?:(?! \d{4}[/-]\d{2}[/-]\d{2})[ .-]?\(?\d\)?){7,14}(?<=\d\d)(?!\d)|(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}|"
@@ -251,13 +255,28 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, "[0-9A-Fa-f]{20,128}$", 0)
-    n = F.length(value)
-    stream = F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), i.cast("string"), F.lower(value), F.lit(key)).cast("binary"), 256)), ""
-    )
-    new = F.substring(stream, F.lit(1), n)
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - n), F.when(value == F.upper(value), F.upper(new)).otherwise(new))
+    """Hexadecimal digits become others, else each letter or digit one of its own kind; marks stay."""
+    value = F.regexp_extract(m, r"[=:]\s{0,3}[\"']?(\S+)$", 1)
+
+    def new(v: Column) -> Column:
+        hexadecimal = v.rlike("^[0-9A-Fa-f]+$")
+        said = F.when(hexadecimal, F.lower(v)).otherwise(v)
+        block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), i.cast("string"), said, F.lit(key)).cast("binary"), 256)
+        stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(v) / 32).cast("int")), block), "")
+
+        def fill(drawn: Column) -> Column:
+            def at(i: Column) -> Column:
+                c = F.substring(v, i, F.lit(1))
+                x = F.conv(F.substring(drawn, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
+                letter = F.when(hexadecimal, F.substring(F.lit("0123456789abcdef"), x % 16 + 1, F.lit(1)))
+                letter = letter.when(c.rlike("[0-9]"), (x % 10).cast("string")).when(c.rlike("[A-Za-z]"), F.char(97 + x % 26)).otherwise(c)
+                return F.when(c.rlike("[A-Z]") | (hexadecimal & (v == F.upper(v))), F.upper(letter)).otherwise(letter)
+
+            return F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), at), "")
+
+        return _let(stream, fill)
+
+    return _let(value, lambda v: F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(v)), new(v)))
 
 
 def _kind(m: Column) -> Column:
@@ -266,7 +285,7 @@ def _kind(m: Column) -> Column:
     n = F.length(_digits(m))
     return (
         F.when(m.contains("@"), "email")
-        .when(whole("secret"), "secret")
+        .when(m.rlike("^" + _NAMED), "secret")
         .when(m.rlike("^[A-Z]{2}"), F.when(_iban_valid(m), "iban"))
         .when(whole("ip"), "ip")
         .when(whole("ssn"), F.when(_ssn_valid(m), "ssn"))
@@ -299,28 +318,31 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     The key should come from a secret store; whoever has it can link and undo
     pseudonyms.
     """
-    t = F.col(text)
+    def fresh(name: str) -> str:
+        return fresh(name + "_") if name in df.columns else name
+
+    f, m, g = map(fresh, ("found", "marked", "gaps"))
+    t, marks, gaps = F.col(f"`{text}`"), F.col(m), F.col(g)
     found = F.when(t.rlike("[0-9@=:]"), F.regexp_extract_all(t, F.lit(_ANY), F.lit(0)))
     marked = F.when(
-        F.size("__found") > 0,
+        F.size(f) > 0,
         F.transform(
-            F.transform("__found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))),
+            F.transform(f, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))),
             lambda x: F.struct(pseudonym(x["m"], x["kind"], key).alias("new"), x["kind"].alias("kind")),
         ),
     )
-    some = F.exists("__marked", lambda x: x["kind"].isNotNull())
-    gaps = F.split(t, _ANY, -1)
+    some = F.exists(marks, lambda x: x["kind"].isNotNull())
     new = F.concat(
-        F.array_join(F.zip_with(F.slice(F.col("__gaps"), F.lit(1), F.size("__marked")), "__marked", lambda g, x: F.concat(g, x["new"])), ""),
-        F.element_at("__gaps", -1),
+        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(marks)), marks, lambda gap, x: F.concat(gap, x["new"])), ""),
+        F.element_at(gaps, -1),
     )
-    kinds = F.filter(F.transform("__marked", lambda x: x["kind"]), lambda k: k.isNotNull())
+    kinds = F.filter(F.transform(marks, lambda x: x["kind"]), lambda k: k.isNotNull())
     return (
-        df.withColumn("__found", found)
-        .withColumn("__marked", marked)
-        .withColumn("__gaps", F.when(some, gaps))
+        df.withColumn(f, found)
+        .withColumn(m, marked)
+        .withColumn(g, F.when(some, F.split(t, _ANY, -1)))
         .select(
-            *[F.col(f"`{c}`") if c != text else F.when(F.col("__gaps").isNotNull(), new).otherwise(t).alias(text) for c in df.columns if c not in ("n_private", "kinds")],
+            *[F.col(f"`{c}`") if c != text else F.when(gaps.isNotNull(), new).otherwise(t).alias(text) for c in df.columns if c not in ("n_private", "kinds")],
             F.coalesce(F.size(F.when(some, kinds)), F.lit(0)).alias("n_private"),
             F.coalesce(F.when(some, kinds), F.array().cast("array<string>")).alias("kinds"),
         )
