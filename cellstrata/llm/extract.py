@@ -14,8 +14,10 @@ decoded; blocks of the article are joined by a line feed, in page order.
 
 Cases: a null or empty page has an empty text; text outside any element is a
 block; a tag, comment or script that never ends runs to the end of the page;
-end tags without a start only end a block. Other columns, null URLs, ties and
-repeated rows pass through. An empty table trains on the package's pages only.
+end tags without a start only end a block; pages, attributes and class lists
+have no greatest length; of two labellings of equal score the one with the later
+blocks in the article is taken. Other columns, null URLs and repeated rows pass
+through. An empty table trains on the package's pages only.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ OTHER = frozenset(
 )
 OTHER_TAGS = frozenset("aside button fieldset footer form head header label legend menu nav noscript option optgroup select template textarea title iframe svg".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: An attribute's value may be quoted after its equals sign; a quote that is never closed ends nothing.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -102,7 +104,7 @@ def leaf_blocks(html: str, known: Container[str] | None = None) -> list[Block]:
             end = html.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
+        m = _TAG.match(html, lt)
         if m is None:
             if re.match(r"</?[a-zA-Z]", html[lt : lt + 3]):
                 break  # a tag that never ends
@@ -280,7 +282,7 @@ def _own_labels(blocks: list[Block]) -> list[bool] | None:
     ]
 
 
-def labelled_pages(pages: DataFrame, key: str, html: str, rows: int, chars: int) -> list[tuple[list[list[str]], list[bool]]]:
+def labelled_pages(pages: DataFrame, key: str, html: str, rows: int, chars: int, most: int = 200) -> list[tuple[list[list[str]], list[bool]]]:
     out = []
     for page in LABELLED:
         blocks = leaf_blocks(page)
@@ -290,7 +292,7 @@ def labelled_pages(pages: DataFrame, key: str, html: str, rows: int, chars: int)
     for row in sample:
         blocks = leaf_blocks(row["h"])
         labels = _own_labels(blocks)
-        if labels is None or len(blocks) > 200:
+        if labels is None or len(blocks) > most:
             continue
         full = [features(b, i, len(blocks)) for i, b in enumerate(blocks)]
         out.append((full, labels))
@@ -298,13 +300,13 @@ def labelled_pages(pages: DataFrame, key: str, html: str, rows: int, chars: int)
     return out
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = 200, chars: int = 20_000) -> Chain:
-    """Train on the package's labelled pages and at most ``rows`` pages of at most ``chars`` characters."""
-    return train(labelled_pages(pages, key, html, rows, chars))
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = 200, chars: int = 20_000, blocks: int = 200) -> Chain:
+    """Train on the package's labelled pages and at most about ``rows`` pages of at most ``chars`` characters and ``blocks`` blocks."""
+    return train(labelled_pages(pages, key, html, rows, chars, blocks))
 
 
 def extract(pages: DataFrame, model: Chain, html: str = "html", into: str = "text") -> DataFrame:
-    """``pages`` plus the main text of each."""
+    """``pages`` plus the main text of each, in place of a column of that name."""
 
     @F.arrow_udf("string")
     def main_text(batch: pa.Array) -> pa.Array:

@@ -279,6 +279,15 @@ def test_archive_files_are_frames_behind_a_dictionary(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} <= {tuple(r) for r in df.select("page_id", "html").collect()}
 
 
+def test_archives_are_read_in_several_tasks(spark, tmp_path):
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    manifest = warc.write_archives(warc.revisits(df.repartition(6)), f"file://{tmp_path}/w", warc.dictionary(df))
+    read = warc.read_archives(manifest, with_payload=False).withColumn("task", F.spark_partition_id())
+    assert manifest.count() == 6 and read.count() == df.count() and read.select("task").distinct().count() > 2
+    shuffled = warc.revisits(df, most=0).select("page_id", "refers_to")
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, warc.revisits(df).select("page_id", "refers_to").collect()))
+
+
 @pytest.mark.parametrize("harm", ["length", "digest", "version", "cut", "header"])
 def test_broken_records_are_refused(harm):
     good = warc.build("response", "urn:page:1", "1970-01-01T00:00:00Z", b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi")
@@ -418,6 +427,22 @@ def test_pseudonyms(spark):
     assert pii.op6_pii(df.limit(0)).count() == 0
 
 
+def test_long_names_and_all_kinds_of_secrets(spark):
+    """No greatest length, and extra columns of any name."""
+    r = random.Random(2)
+    digits = "".join(r.choice("0123456789abcdef") for _ in range(160))
+    name, key = "n" * 70 + ".x", "sk-Zx91qL_0pTr7vWn2"
+    texts = [f'token = "{digits}"', f"write to {name}@mail.example.com", f'api_key = "{key}"', f"again api_key: '{key}'", "password: correct horse battery", f"x {'long ' * 50_000} token={digits.upper()} {name}@b.example"]
+    df = spark.createDataFrame([(i, t, "f", "g") for i, t in enumerate(texts)], "doc_id long, text string, found string, gaps string")
+    out = {x.doc_id: x for x in pii.pseudonymise(df, "k").collect()}
+    assert [out[i].kinds for i in range(6)] == [["secret"], ["email"], ["secret"], ["secret"], [], ["secret", "email"]]
+    assert out[0].found == "f" and out[0].gaps == "g" and out[4].text == texts[4]
+    new = re.fullmatch(r'token = "([0-9a-f]{160})"', out[0].text)[1]
+    assert new != digits and f"token={new.upper()} user" in out[5].text and len(out[5].text) < len(texts[5])
+    other = re.fullmatch(r'api_key = "([a-z]{2}-[A-Z][a-z]\d\d[a-z][A-Z]_\d[a-z][A-Z][a-z]\d[a-z][A-Z][a-z]\d)"', out[2].text)[1]
+    assert other != key and out[3].text == f"again api_key: '{other}'" and name not in out[1].text
+
+
 def test_permutations_are_one_to_one(spark):
     df = spark.range(1000).select("id", F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert df.select(pii.permute_digits(F.col("d"), "k", "t").alias("x")).distinct().count() == 1000
@@ -574,6 +599,15 @@ def test_innermost_ancestors_of_deep_pages_count():
     assert extract.leaf_blocks(page, {"t:nav", "c:late"})[1].above == ("t:nav", "c:late")
 
 
+def test_long_attributes_and_classes(spark):
+    many = " ".join(f"w{i}" for i in range(12))
+    page = f"<article><p title=\"{'a > b ' * 1000}\" data-x='1'>Body text here, of some length, with an end.</p><p>Next one.</p><div class='{many} comments'><p>Great.</p></div></article>"
+    blocks = extract.leaf_blocks(page)
+    assert [b.text for b in blocks] == ["Body text here, of some length, with an end.", "Next one.", "Great."]
+    assert "c:comments" in blocks[2].above and "c:comments" not in blocks[0].above
+    assert [b.text for b in extract.leaf_blocks("<p a='>one</p><p b=\"x>two</p>")] == ["one", "two"]
+
+
 def test_viterbi_against_all_labelings():
     import itertools
 
