@@ -6,16 +6,21 @@ unbiased risk of positive-unlabelled learning (Kiryo et al. 2017): with the
 class prior pi, the risk is pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1)), and
 where the second part goes below zero the step is taken back against it.
 Positives are a bounded sample of the training rows labelled 1, the unlabelled
-set is a bounded sample of all documents. The prior is the share of label 1
-among all labelled training rows. Last, a monotone logistic curve on a bounded
-sample of training rows turns the margin into a probability; it moves no
-document past another.
+set is a bounded sample of all documents; labels 0 are never used. The class
+prior is estimated from these two sets: a first classifier tells positives from
+unlabelled rows, and on rows that it has not seen the prior is the least ratio,
+over its scores, of the share of unlabelled rows above a score to that of
+positives (best bin estimation, Garg et al. 2021). The margin becomes a
+probability by a monotone logistic curve, fitted to the same risk and to the
+prior on rows that the classifier has not seen.
 
 Cases: null and empty texts have the figures of an empty text and a score like
-any other; null labels and labels other than 0 and 1 are left out; without a
-positive training row every score is 0, with positives only every score is 1.
-Repeated rows are scored alike; other columns pass through; labels, language,
-source and key never enter a score.
+any other; null labels and labels other than 0 and 1 are left out; of rows that
+share a key the least text is learnt from; without a positive training row every
+score is 0. A null key is never held out. Texts are read whole, whatever their
+length; of equally frequent words the first counts. Repeated rows are scored
+alike; other columns pass through, but one named like the score is replaced;
+labels, language, source and key never enter a score.
 """
 
 from __future__ import annotations
@@ -114,44 +119,87 @@ class Additive:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margin(self.bins(x)) + self.b, -30, 30)))
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 300, rate: float = 0.03, decay: float = 1e-4) -> Additive:
-    """Minimise the non-negative unbiased risk with the logistic loss, by Adam on the whole samples."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Adam:
+    """Steps of Kingma and Ba (2015) on one array."""
+
+    def __init__(self, w: np.ndarray, rate: float):
+        self.w, self.rate, self.first, self.second, self.n = w, rate, np.zeros_like(w), np.zeros_like(w), 0
+
+    def step(self, grad: np.ndarray) -> None:
+        self.n += 1
+        self.first = 0.9 * self.first + 0.1 * grad
+        self.second = 0.999 * self.second + 0.001 * grad**2
+        self.w -= self.rate * (self.first / (1 - 0.9**self.n)) / (np.sqrt(self.second / (1 - 0.999**self.n)) + 1e-9)
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the non-negative unbiased risk by each margin of the positives and of the unlabelled rows, logistic loss."""
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_p, of_u = -prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    if negative >= 0:
+        return of_p + prior * (_sigmoid(zp) - 1) / len(zp), of_u
+    return -of_p, -of_u
+
+
+def binned(positive: np.ndarray, unlabelled: np.ndarray, bins: int) -> tuple[Additive, np.ndarray, np.ndarray]:
     both = np.concatenate([positive, unlabelled])
     model = Additive([np.unique(np.quantile(both[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(both.shape[1])])
-    p, u = model.bins(positive), model.bins(unlabelled)
-    size, width = len(model.w), p.shape[1]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def pull(rows: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        g = np.bincount(rows.ravel(), np.repeat(slope, width), size)
-        g[-1] = slope.sum()
-        return g / len(rows)
-
-    first, second = np.zeros(size), np.zeros(size)
-    for step in range(1, steps + 1):
-        zp, zu = model.margin(p), model.margin(u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_negative = pull(u, sigmoid(zu)) - prior * pull(p, sigmoid(zp))
-        if negative >= 0:
-            grad = prior * pull(p, sigmoid(zp) - 1) + grad_negative
-        else:
-            grad = -grad_negative
-        grad += decay * model.w
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        model.w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+    return model, model.bins(positive), model.bins(unlabelled)
+
+
+def _pull(rows: np.ndarray, slope: np.ndarray, size: int) -> np.ndarray:
+    g = np.bincount(rows.ravel(), np.repeat(slope, rows.shape[1]), size)
+    g[-1] = slope.sum()
+    return g
+
+
+def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 600, rate: float = 0.03, decay: float = 1e-3) -> Additive:
+    """Minimise the non-negative unbiased risk, by Adam on the whole samples."""
+    model, p, u = binned(positive, unlabelled, bins)
+    adam = Adam(model.w, rate)
+    for _ in range(steps):
+        of_p, of_u = slopes(model.margin(p), model.margin(u), prior)
+        adam.step(_pull(p, of_p, len(model.w)) + _pull(u, of_u, len(model.w)) + decay * model.w)
     return model
 
 
-def curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope (kept above 0) and constant of a logistic curve, by damped Newton steps."""
-    a, b = 1.0, 0.0
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, steps: int = 200, rate: float = 0.03) -> float:
+    """Share of positives among the unlabelled rows; every other row trains the classifier, the rest gives the estimate."""
+    model, p, u = binned(positive[::2], unlabelled[::2], bins)
+    adam = Adam(model.w, rate)
+    for _ in range(steps):  # both sets weigh the same
+        of_p, of_u = (_sigmoid(model.margin(p)) - 1) / len(p), _sigmoid(model.margin(u)) / len(u)
+        adam.step(_pull(p, of_p, len(model.w)) + _pull(u, of_u, len(model.w)) + 1e-3 * model.w)
+    p, u = (np.sort(model.margin(model.bins(x[1::2] if len(x) > 1 else x))) for x in (positive, unlabelled))
+    at = np.unique(np.concatenate([p, u]))
+    of_p, of_u = (1 - np.searchsorted(z, at, "left") / len(z) for z in (p, u))
+    doubt = math.sqrt(math.log(40) / 2) * (1 / math.sqrt(len(p)) + 1 / math.sqrt(len(u)))
+    some = of_p > 0
+    best = np.argmin((of_u[some] + 1.01 * doubt) / of_p[some])
+    return float(np.clip(of_u[some][best] / of_p[some][best], 0.01, 0.99))
+
+
+def curve(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02) -> tuple[float, float]:
+    """Slope (kept above 0) and constant of a logistic curve over margins.
+
+    The slope is that of least non-negative unbiased risk; with the constant,
+    the mean over the unlabelled rows is the prior.
+    """
+    adam = Adam(np.array([1.0, 0.0]), rate)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        r, v = y - p, p * (1 - p)
-        h = np.array([[(v * margin**2).sum() + 1e-3, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(r * margin).sum() - 1e-3 * (a - 1), r.sum() - 1e-3 * b])
-        a, b = max(0.05, a + float(np.clip(step[0], -1, 1))), b + float(np.clip(step[1], -2, 2))
-    return a, b
+        a, b = adam.w
+        of_p, of_u = slopes(a * positive + b, a * unlabelled + b, prior)
+        adam.step(np.array([of_p @ positive + of_u @ unlabelled, of_p.sum() + of_u.sum()]) + 1e-4 * (adam.w - np.array([1.0, 0.0])))
+        adam.w[0] = max(0.05, adam.w[0])
+    a, (low, high) = float(adam.w[0]), (-40.0 - np.abs(adam.w[0] * unlabelled).max(), 40.0 + np.abs(adam.w[0] * unlabelled).max())
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (b, high) if _sigmoid(a * unlabelled + b).mean() < prior else (low, b)
+    return a, float(b)
 
 
 def with_figures(df: DataFrame, text: str = "text") -> DataFrame:
@@ -163,27 +211,26 @@ def with_figures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", positives: int = 6000, unlabelled: int = 12_000, column: str = "quality") -> Additive | float:
-    """Fit on labelled rows whose crc32 remainder by 4 is not 2; a constant score where a class is missing.
+    """Fit on rows labelled 1 whose crc32 remainder by 4 is not 2, and on all documents without labels; 0 without positives.
 
     ``positives`` and ``unlabelled`` bound the samples (documents without a key
-    count among the unlabelled).
+    count among the unlabelled). A third of each is kept for the curve.
     """
     train = labelled(labels, column).where(remainder("doc_id", 4) != 2)
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return float(bool(counts.get(1)))
-    prior = counts[1] / (counts[0] + counts[1])
     docs = documents.select("doc_id", F.col(text).alias("t"))
-    positive_ids = sampled(train.where("label = 1"), "doc_id", positives).select("doc_id")
-    x_p = _table(with_figures(docs.join(F.broadcast(positive_ids), "doc_id", "left_semi"), "t"))
+    ids = sampled(train.where("label = 1"), "doc_id", positives).select("doc_id")
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"))
+    x_p = _table(with_figures(rows, "t"))
     x_u = _table(with_figures(sampled(docs, "doc_id", unlabelled, repeats=True), "t"))
-    if not len(x_p) or not len(x_u):
-        return float(bool(len(x_p)))
-    model = learn(x_p, x_u, prior)
-    known = sampled(train, "doc_id", positives)
-    rows = with_figures(docs.join(F.broadcast(known), "doc_id"), "t").select("label", "figures").toArrow()
-    x = np.array(rows.column("figures").to_pylist(), float).reshape(rows.num_rows, len(FIGURES))
-    model.a, model.b = curve(model.margin(model.bins(x)), rows.column("label").to_numpy().astype(float))
+    if not len(x_p):
+        return 0.0
+    order = np.random.default_rng(5)
+    x_p, x_u = order.permutation(x_p), order.permutation(x_u)
+    prior = class_prior(x_p, x_u)
+    of = lambda x: (x[len(x) // 3 :], x[: len(x) // 3] if len(x) >= 3 else x)
+    (p, held_p), (u, held_u) = of(x_p), of(x_u)
+    model = learn(p, u, prior)
+    model.a, model.b = curve(model.margin(model.bins(held_p)), model.margin(model.bins(held_u)), prior)
     return model
 
 
@@ -204,7 +251,7 @@ def op9_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text")
     return score(docs, fit(docs, labels)).select(
         "doc_id",
-        (remainder("doc_id", 4) == 2).alias("held_out"),
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )

@@ -207,7 +207,7 @@ def test_toxicity_learns_verbatim_and_rare_expressions(spark):
         rows.append((i, "\n".join(lines)))
         labels.append((i, int(bad)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    models = toxicity.fit_models(docs, toxicity.labelled(marks, "toxic"), "text", 4000, 1 << 18)
+    models = toxicity.fit_models(docs, toxicity.labelled(marks, "toxic"), "text", 4000)
     often, seldom = (models.ratio(words.word_hashes(t)) for t in ("vile wretch begone", "lousy knave"))
     assert often.min() > 1 and 0.2 < seldom.min() <= seldom.max() < often.max()
     out = toxicity.op3_toxicity(docs, marks).join(marks, "doc_id").where("held_out and doc_id % 200 <> 0").collect()
@@ -234,7 +234,8 @@ def test_quality_odd_cases(spark, odd, documents, labels):
     more = documents.unionByName(odd.select(documents.columns))
     out = quality.op9_quality(more, labels.union(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))).collect()
     assert len(out) == more.count() and all(0 <= r.score <= 1 for r in out)
-    assert {r.score for r in quality.op9_quality(documents, labels.where("quality = 1")).collect()} == {1.0}
+    alone = quality.op9_quality(documents, labels.where("quality = 1")).collect()  # labels 0 are not needed
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, quality.op9_quality(documents, labels).collect()))
     assert {r.score for r in quality.op9_quality(documents, labels.where("quality = 0")).collect()} == {0.0}
     assert quality.op9_quality(documents.limit(0), labels.limit(0)).count() == 0
 
