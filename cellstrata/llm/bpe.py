@@ -18,6 +18,7 @@ encoded alike, other columns pass through unchanged; ``token_ids`` and
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellstrata.llm.memory import give_back
+from cellstrata.llm.memory import give_back, tidy
 
 _NONE = 1 << 62
 _SHIFT = 34
@@ -41,7 +42,6 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-@lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
@@ -228,7 +228,7 @@ def _tokens(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(path).items()}
 
 
-def encode(text: Column | str, path: str, pattern: str, memo: int = 400_000) -> Column:
+def encode(text: Column | str, path: str, pattern: str, memo: int = 150_000) -> Column:
     """Ids of a text, packed as little-endian unsigned 32-bit integers.
 
     ``memo`` bounds the matches whose ids are remembered within a batch (about
@@ -287,13 +287,34 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
     return out.withColumn("n_tokens", n_ids("token_ids"))
 
 
+def code_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, memo: int = 150_000) -> DataFrame:
+    """``(key, token_ids, decoded)``: packed ids of every whole text, and the bytes that they decode to.
+
+    Both are made for some rows at a time, so a task holds one batch of texts
+    and little besides.
+    """
+    own_path, own_pattern = rank_file()
+    path, pattern = path or own_path, pattern or own_pattern
+
+    @tidy
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, split, token = _Vocabulary(load_ranks(path)), regex.compile(pattern).findall, _tokens(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = list(vocabulary.packed((value.as_py() for value in part.column(1)), split, memo))
+                texts = [b"".join(map(token.__getitem__, memoryview(b).cast("I"))) for b in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], [key, "token_ids", "decoded"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(code, f"`{key}` {kind}, token_ids binary, decoded binary")
+
+
 def op2_byte_bpe(documents: DataFrame) -> DataFrame:
     """Encode and decode every whole text; digests of both."""
-    path, _ = rank_file()
-    coded = encode_documents(documents.select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids")
-    return coded.withColumn("decoded", decode("token_ids", path)).select(
+    return code_documents(documents).select(
         "doc_id",
-        "n_tokens",
+        n_ids("token_ids").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
