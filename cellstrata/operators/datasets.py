@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cellstrata.operators.graph import dense_index
+from cellstrata.plans.lineage import cut, small
+
 
 def join_images_labels(images: DataFrame, tables: DataFrame) -> DataFrame:
     """Images and object tables meet by ``key``; objects without a class are left out."""
@@ -22,9 +25,17 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
 
 def balance_classes(rows: DataFrame, n: int, key: str = "key", seed: int = 0) -> DataFrame:
-    """``n`` rows of every class, drawn with replacement by a seeded hash."""
-    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("classification").orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
+    """``n`` rows of every class, drawn with replacement by a seeded hash.
+
+    Rows are numbered over all classes by range partitions, so that no class is
+    sorted in one task; a class begins where the smaller ones end.
+    """
+    marked = rows.where("classification is not null").withColumn("__k", F.struct("classification", F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("k")))
+    numbered = dense_index(marked, "__k", "__place").drop("__k")
     counts = class_counts(rows).where("classification is not null")
+    before = F.sum("n").over(Window.orderBy("classification")) - F.col("n")
+    counts = small(cut(counts.withColumn("before", before)))  # one row for each class
+    numbered = numbered.join(counts.drop("n"), "classification").withColumn("__r", F.col("__place") - F.col("before")).drop("before", "__place")
     draws = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draws = draws.select("classification", "draw", F.pmod(F.xxhash64("classification", "draw", F.lit(seed)), F.col("n")).alias("__r"))
     return draws.join(numbered, ["classification", "__r"]).drop("__r")

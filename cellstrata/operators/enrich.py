@@ -5,13 +5,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellstrata.operators import expression as ex
 from cellstrata.operators.select import split_target_opponent
-from cellstrata.plans.lineage import cut
+from cellstrata.plans.lineage import cut, distinct_names
 
 
 def map_symbols(genes: DataFrame, gene_map: DataFrame) -> DataFrame:
@@ -100,10 +101,10 @@ def curate_terms(result: DataFrame) -> DataFrame:
 
 
 def term_text(result: DataFrame) -> DataFrame:
-    """One row ``text``: a cluster's terms joined by commas, clusters by a blank line."""
+    """One row ``text``: a cluster's terms joined by commas, clusters by a blank line; null without any."""
     lines = result.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "go_id"))), lambda x: x["go_id"]), ", ").alias("line"))
     joined = F.transform(F.sort_array(F.collect_list(F.struct("cluster", "line"))), lambda x: x["line"])
-    return lines.agg(F.array_join(joined, "\n\n").alias("text"))
+    return lines.agg(F.when(F.count(F.lit(1)) > 0, F.array_join(joined, "\n\n")).alias("text"))
 
 
 def gene_weights(terms: DataFrame, assoc: DataFrame, gene_map: DataFrame, measured: DataFrame) -> DataFrame:
@@ -155,11 +156,12 @@ def forward_differential(expr: DataFrame, labels: DataFrame, gene_map: DataFrame
     e = _prepared(expr)
     ranked = ex.rank_genes(e, labels.join(e.select("cell_id").distinct(), "cell_id", "left_semi"))
     markers = cut(ex.cluster_markers(ranked, genes))
-    out = None
-    for r in markers.select("label").distinct().orderBy("label").collect():
-        part = _terms_of(markers.where(F.col("label") == r["label"]), e, gene_map, assoc).withColumn("cluster", F.lit(r["label"]))
-        out = part if out is None else out.unionByName(part)
-    return None if out is None else curate_terms(top_terms(out, terms, ["cluster"]))
+    parts = [
+        _terms_of(markers.where(F.col("label") == name), e, gene_map, assoc).withColumn("cluster", F.lit(name))
+        for name in distinct_names(labels, "label")
+    ]
+    out = functools.reduce(DataFrame.unionByName, parts, _terms_of(markers.limit(0), e, gene_map, assoc).withColumn("cluster", F.lit(None).cast("string")))
+    return curate_terms(top_terms(out, terms, ["cluster"]))
 
 
 def reverse_score(expr: DataFrame, terms: DataFrame, assoc: DataFrame, gene_map: DataFrame, top: int = 100) -> DataFrame:

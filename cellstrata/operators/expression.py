@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cellstrata.functions.quantiles import quantiles
 from cellstrata.operators.graph import normalise_edges
-from cellstrata.plans.lineage import cut
+from cellstrata.plans.lineage import cut, distinct_names
 
 
 def filter_cells(expr: DataFrame, min_counts: float = 10) -> DataFrame:
@@ -43,18 +43,17 @@ def qc_genes(expr: DataFrame, cells: int) -> DataFrame:
 
 def trim_by_genes(expr: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Cells whose number of genes lies strictly between two exact quantiles."""
-    g = expr.where("n > 0").groupBy("cell_id").agg(F.count(F.lit(1)).alias("g"))
-    q = g.agg(F.percentile("g", low).alias("q0"), F.percentile("g", high).alias("q1"))
-    keep = g.crossJoin(F.broadcast(q)).where("g > q0 and g < q1")
+    g = cut(expr.where("n > 0").groupBy("cell_id").agg(F.count(F.lit(1)).alias("g")))
+    q0, q1 = quantiles(g, "g", [low, high])
+    keep = g.where((F.col("g") > F.lit(q0)) & (F.col("g") < F.lit(q1)))
     return expr.join(keep.select("cell_id"), "cell_id", "left_semi")
 
 
 def normalise_total(expr: DataFrame) -> DataFrame:
     """Scale every cell to the median of the cells' totals."""
-    total = expr.groupBy("cell_id").agg(F.sum("n").alias("total")).where("total > 0")
-    median = total.agg(F.percentile("total", 0.5).alias("median"))
-    scaled = expr.join(total, "cell_id").crossJoin(F.broadcast(median))
-    return scaled.select("cell_id", "gene", (F.col("n") * F.col("median") / F.col("total")).alias("n"))
+    total = cut(expr.groupBy("cell_id").agg(F.sum("n").alias("total")).where("total > 0"))
+    (median,) = quantiles(total, "total", [0.5])
+    return expr.join(total, "cell_id").select("cell_id", "gene", (F.col("n") * F.lit(median) / F.col("total")).alias("n"))
 
 
 def log_counts(expr: DataFrame) -> DataFrame:
@@ -91,9 +90,9 @@ def top_genes_by_mean(expr: DataFrame, n: int = 100) -> DataFrame:
 
 
 def pca(expr: DataFrame, k: int, genes: DataFrame | None = None) -> DataFrame:
-    """``(cell_id, pc array<double>)``: centred principal components over the genes of a bounded panel."""
+    """``(cell_id, pc array<double>)``: centred principal components over the genes of a bounded panel (``MAX_COLUMNS``, else an error)."""
     e = expr if genes is None else expr.join(genes.select("gene"), "gene", "left_semi")
-    names = sorted(r["gene"] for r in e.select("gene").distinct().collect())
+    names = distinct_names(e, "gene")
     size = len(names)
     wide = e.groupBy("cell_id").pivot("gene", names).agg(F.sum("n"))
     wide = expr.select("cell_id").distinct().join(wide, "cell_id", "left")
@@ -109,7 +108,9 @@ def pca(expr: DataFrame, k: int, genes: DataFrame | None = None) -> DataFrame:
 def neighbours(vectors: DataFrame, k: int = 15, block: int = 2048, key: str = "id", column: str = "v") -> DataFrame:
     """``(id, other, distance)``: the ``k`` nearest vectors, exactly; blocks of queries meet blocks of vectors as matrices.
 
-    Each task holds two blocks. Ties go to the smaller id.
+    Each task holds two blocks. Ties go to the smaller id. This is the exact
+    all-against-all mode: its work grows with the square of the rows, so beyond
+    some millions of vectors reduce them first (principal components, samples).
     """
     import numpy as np
     import pandas as pd
@@ -141,7 +142,11 @@ def neighbours(vectors: DataFrame, k: int = 15, block: int = 2048, key: str = "i
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(node, community)`` by local moving: in each round half of the nodes, by hash, go to the neighbouring community of largest modularity gain."""
+    """``(node, community)`` by local moving: in each round half of the nodes, by hash, go to the neighbouring community of largest modularity gain.
+
+    One level of local moving, without the coarsening and refinement of the
+    Leiden method: on graphs of large diameter communities stay small.
+    """
     e = cut(normalise_edges(edges))
     degree = cut(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")))
     twice = degree.agg(F.sum("d")).first()[0] or 1
@@ -169,6 +174,17 @@ def modularity(edges: DataFrame, state: DataFrame) -> float:
     return inside / total - volumes / total**2 if total else 0.0
 
 
+def two_sided(z: Column) -> Column:
+    """Both tails of the normal distribution beyond ``z``: the series of erf below 3, the continued fraction of erfc above."""
+    x = F.abs(z) / math.sqrt(2.0)
+    terms = F.sequence(F.lit(1), F.lit(60))
+    step = lambda s, k: F.struct((s["t"] * -x * x / k).alias("t"), (s["sum"] + s["t"] * -x * x / k / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(terms, F.struct(x.alias("t"), x.alias("sum")), step, lambda s: 1 - s["sum"] * 2 / math.sqrt(math.pi))
+    down = F.transform(terms, lambda k: (61 - k) / 2.0)
+    fraction = F.exp(-x * x) / math.sqrt(math.pi) / F.aggregate(down, x, lambda f, a: x + a / f)
+    return F.when(F.isnan(z), z).when(x < 3 / math.sqrt(2.0), series).otherwise(fraction)
+
+
 def rank_genes(expr: DataFrame, labels: DataFrame) -> DataFrame:
     """Wilcoxon rank sum of each group of ``labels(cell_id, label)`` against the rest, for every gene.
 
@@ -181,10 +197,15 @@ def rank_genes(expr: DataFrame, labels: DataFrame) -> DataFrame:
     n = lab.agg(F.count(F.lit(1)).alias("total"))
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     e = expr.where("n > 0").join(lab, "cell_id")
-    w = Window.partitionBy("gene")
-    ranked = e.withColumn("above", F.rank().over(w.orderBy("n"))).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("gene", "n")))
-    by = ranked.groupBy("gene", "label").agg(
-        F.sum(F.col("above") + (F.col("ties") - 1) / 2.0).alias("ranks"), F.count(F.lit(1)).alias("k"), F.sum(F.expm1("n")).alias("s")
+    # cells of each value and label, then ranks over a gene's distinct values only
+    counts = e.groupBy("gene", "n", "label").agg(F.count(F.lit(1)).alias("c"))
+    ties = counts.groupBy("gene", "n").agg(F.sum("c").alias("ties"))
+    below = F.sum("ties").over(Window.partitionBy("gene").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    rank = F.coalesce(below, F.lit(0)) + (F.col("ties") + 1) / 2.0
+    by = (
+        counts.join(ties.withColumn("rank", rank).drop("ties"), ["gene", "n"])
+        .groupBy("gene", "label")
+        .agg(F.sum(F.col("rank") * F.col("c")).alias("ranks"), F.sum("c").alias("k"), F.sum(F.expm1("n") * F.col("c")).alias("s"))
     )
     gene = by.groupBy("gene").agg(F.sum("k").alias("gk"), F.sum("s").alias("gs"))
     grid = gene.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(n)).join(by, ["gene", "label"], "left")
@@ -198,11 +219,7 @@ def rank_genes(expr: DataFrame, labels: DataFrame) -> DataFrame:
         "lfc", F.log2((s / size + 1e-9) / (F.when(rest > 0, (F.col("gs") - s) / rest).otherwise(0.0) + 1e-9))
     )
 
-    @F.arrow_udf(T.DoubleType())
-    def two_sided(z: pa.Array) -> pa.Array:
-        return pa.array([math.erfc(abs(x) / math.sqrt(2)) for x in z.to_pylist()], pa.float64())
-
-    return bh_adjust(out.withColumn("pvalue", two_sided("z")), "pvalue", "padj", ["label"], "gene").select("label", "gene", "z", "pvalue", "padj", "lfc")
+    return bh_adjust(out.withColumn("pvalue", two_sided(F.col("z"))), "pvalue", "padj", ["label"], "gene").select("label", "gene", "z", "pvalue", "padj", "lfc")
 
 
 def bh_adjust(df: DataFrame, p: str, into: str, by: Sequence[str], tie: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellstrata.functions.compare import compared
-from cellstrata.plans.lineage import cut
+from cellstrata.operators.select import effective_class
+from cellstrata.plans.lineage import cut, small
 
 
 def normalise_edges(edges: DataFrame) -> DataFrame:
@@ -79,6 +80,7 @@ def khop(edges: DataFrame, seeds: DataFrame, k: int, include_self: bool = False)
     frontier = seeds.select(F.col("cell_id").alias("seed"), "cell_id", F.lit(0).alias("hop")).distinct()
     seen = frontier
     step = edges.select(F.col("src").alias("cell_id"), F.col("dst").alias("next"))
+    step = cut(step) if k > 1 else step  # else every step would make the edges anew
     for hop in range(1, k + 1):
         reached = frontier.join(step, "cell_id").select("seed", F.col("next").alias("cell_id")).distinct()
         frontier = reached.join(seen.select("seed", "cell_id"), ["seed", "cell_id"], "left_anti").withColumn("hop", F.lit(hop))
@@ -98,7 +100,7 @@ def neighbourhood_composition(cells: DataFrame, edges: DataFrame, k: int = 1, wi
     size = near.groupBy("seed").agg((F.count(F.lit(1)) - (0 if with_self else 1)).alias("size"))
     counted = near.join(own, "cell_id").where("classification is not null").groupBy("seed", "classification").agg(F.count(F.lit(1)).alias("n"))
     classes = own.select("classification").where("classification is not null").distinct()
-    grid = own.select(F.col("cell_id").alias("seed")).crossJoin(F.broadcast(classes))
+    grid = own.select(F.col("cell_id").alias("seed")).crossJoin(small(cut(classes)))
     return (
         grid.join(counted, ["seed", "classification"], "left")
         .join(size, "seed")
@@ -111,27 +113,30 @@ def neighbourhood_composition(cells: DataFrame, edges: DataFrame, k: int = 1, wi
     )
 
 
-def neighbourhood_enrichment(cells: DataFrame, edges: DataFrame, targets: Sequence[str], k: int = 2) -> DataFrame:
-    """``(cell_id, total, prob)``: cells in reach including the cell itself, and the share of target classes among them."""
+def neighbourhood_enrichment(cells: DataFrame, edges: DataFrame, targets: Sequence[str], k: int = 2, by: str = "detection", annotations: DataFrame | None = None) -> DataFrame:
+    """``(cell_id, total, prob)``: cells in reach including the cell itself, and the share of target classes among them.
+
+    ``by="annotation"`` takes the class of each cell's annotation in place of its own.
+    """
     near = khop(edges, cells.select("cell_id"), k, include_self=True)
-    hit = F.coalesce(F.col("classification").isin(*targets), F.lit(False)).cast("int")
+    hit = F.coalesce(F.col("effective").isin(*targets), F.lit(False)).cast("int")
     return (
-        near.join(cells.select("cell_id", "classification"), "cell_id")
+        near.join(effective_class(cells, annotations, by).select("cell_id", "effective"), "cell_id")
         .groupBy(F.col("seed").alias("cell_id"))
         .agg(F.count(F.lit(1)).alias("total"), F.avg(hit).alias("prob"))
     )
 
 
 def _layers(target: DataFrame, other: DataFrame, edges: DataFrame, max_layers: int) -> DataFrame:
-    e = edges.select(F.col("src").alias("cell_id"), F.col("dst").alias("next"))
-    inner = e.join(target, "cell_id", "left_semi")
-    first = inner.join(other.select(F.col("cell_id").alias("next")), "next", "left_semi").select("cell_id").distinct()
+    e = cut(edges.select(F.col("src").alias("cell_id"), F.col("dst").alias("next")).join(target, "cell_id", "left_semi"))
+    first = e.join(other.select(F.col("cell_id").alias("next")), "next", "left_semi").select("cell_id").distinct()
     frontier, layer = cut(first.withColumn("layer", F.lit(1))), 1
+    e = cut(e.join(target.select(F.col("cell_id").alias("next")), "next", "left_semi"))  # from here on within the targets
     seen = frontier
     while not frontier.isEmpty() and (max_layers == 0 or layer < max_layers):
         layer += 1
         reached = e.join(frontier.select("cell_id"), "cell_id").select(F.col("next").alias("cell_id")).distinct()
-        new = reached.join(target, "cell_id", "left_semi").join(seen.select("cell_id"), "cell_id", "left_anti")
+        new = reached.join(seen.select("cell_id"), "cell_id", "left_anti")
         frontier = cut(new.withColumn("layer", F.lit(layer)))
         seen = seen.unionByName(frontier)
     return seen

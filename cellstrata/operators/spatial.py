@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cellstrata.operators.components import connected_components
 from cellstrata.operators.graph import _points, khop, near_pairs, radius_graph
-from cellstrata.plans.lineage import cut
+from cellstrata.operators.select import effective_class, sample_cells
+from cellstrata.plans.lineage import cut, small
 
 
-def kernel_density(cells: DataFrame, targets: list[str], bandwidth: float = 50.0) -> DataFrame:
-    """``(cell_id, density)``: sum of exp(-d^2 / 2h^2) over target cells within 5h, a target counting itself."""
-    hits = near_pairs(_points(cells), _points(cells.where(F.col("classification").isin(*targets))), 5 * bandwidth)
+def kernel_density(
+    cells: DataFrame, targets: list[str], bandwidth: float = 50.0, by: str = "detection", annotations: DataFrame | None = None
+) -> DataFrame:
+    """``(cell_id, density)``: sum of exp(-d^2 / 2h^2) over target cells within 5h, a target counting itself.
+
+    ``by="annotation"`` takes the class of each cell's annotation in place of its own.
+    """
+    target = effective_class(cells, annotations, by).where(F.col("effective").isin(*targets))
+    hits = near_pairs(_points(cells), _points(target), 5 * bandwidth)
     total = hits.groupBy(F.col("a").alias("cell_id")).agg(F.sum(F.exp(-F.col("d2") / (2.0 * bandwidth * bandwidth))).alias("density"))
     return cells.select("cell_id").join(total, "cell_id", "left").select("cell_id", F.coalesce("density", F.lit(0.0)).alias("density"))
 
@@ -53,14 +60,17 @@ def cell_cell_interaction(
     )
     own = p.withColumnRenamed("gene", mine).join(panel, mine)
     hits = own.join(around, ["cell_id", theirs]).select("cell_id", "ligand", "receptor", (F.lit(scale) * F.col("p") * F.col("s")).alias("score"))
-    grid = valid.crossJoin(panel)
+    grid = valid.crossJoin(small(panel))
     return grid.join(hits, ["cell_id", "ligand", "receptor"], "left").select(
         "cell_id", "ligand", "receptor", F.coalesce("score", F.lit(0.0)).alias("score")
     )
 
 
-def mean_cell_size(measurements: DataFrame, longest: str = "max_diameter", shortest: str = "min_diameter") -> DataFrame:
-    """One row ``size``: the mean of the mean longest and mean shortest diameter."""
+def mean_cell_size(measurements: DataFrame, longest: str = "max_diameter", shortest: str = "min_diameter", sample: int = 0, seed: int = 0) -> DataFrame:
+    """One row ``size``: the mean of the mean longest and mean shortest diameter, over ``sample`` cells by a seeded hash (0: all)."""
+    if sample:
+        chosen = sample_cells(measurements.where(F.col("name").isin(longest, shortest)).select("cell_id").distinct(), sample, seed, strict=False)
+        measurements = measurements.join(F.broadcast(chosen.select("cell_id")), "cell_id", "left_semi")  # as few as were asked for
     mean = lambda n: F.avg(F.when(F.col("name") == n, F.col("value")))
     return measurements.where(F.col("name").isin(longest, shortest)).agg(((mean(longest) + mean(shortest)) / 2).alias("size"))
 

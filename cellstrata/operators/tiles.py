@@ -9,12 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cellstrata.functions.quantiles import at_ranks
 from cellstrata.operators.components import connected_components
+from cellstrata.plans.lineage import cut
 
 
 def tile_grid(spark, width: int, height: int, size: int, stride: int) -> DataFrame:
-    """``(tile_id, x, y, w, h)``: 1 + (W - size) / stride tiles each way, cut down to whole numbers; none if the tile is larger."""
-    nx, ny = (max(0, 1 + math.trunc((n - size) / stride)) if n >= size else 0 for n in (width, height))
+    """``(tile_id, x, y, w, h)``: 1 + (W - size) / stride tiles each way, cut toward zero, so one also where the tile is a little larger."""
+    nx, ny = (max(0, 1 + math.trunc((n - size) / stride)) for n in (width, height))
     return spark.range(nx * ny).select(
         F.col("id").alias("tile_id"),
         (F.col("id") % max(1, nx) * stride).alias("x"),
@@ -67,9 +69,11 @@ def stain_matrix(pixels: DataFrame, min_magnitude: float = 16.0, low: float = 0.
     """3x3, a stain in each column: Macenko's method on optical densities, over all pixels.
 
     The plane is that of the two leading eigenvectors of the uncentred second
-    moments (six sums), each turned so that its largest component is positive;
-    the two stains are the directions at two exact quantiles of the angle, the
-    third is their cross product.
+    moments (six sums), each turned so that its largest component is positive.
+    With a pixel's unit direction (u, v) in it, its angle is (1 - v) * sign(u).
+    The two stains are the directions of the pixels at two exact ranks of the
+    angle, int(share * n + 0.5); the third is their cross product. Pixels of
+    equal angle have equal directions, but for those with u = 0.
     """
     od = optical_density(pixels, i0).select("od_r", "od_g", "od_b")
     names = ("od_r", "od_g", "od_b")
@@ -79,10 +83,15 @@ def stain_matrix(pixels: DataFrame, min_magnitude: float = 16.0, low: float = 0.
     v = v * np.where(np.take_along_axis(v, np.abs(v).argmax(0)[None], 0) < 0, -1, 1)
     dot = lambda k: sum((F.col(n) * float(v[i, k]) for i, n in enumerate(names)), F.lit(0.0))
     flat = od.select(dot(0).alias("p"), dot(1).alias("q")).where(F.col("p") * F.col("p") + F.col("q") * F.col("q") > min_magnitude**2)
-    angle = F.atan2("q", "p")
-    ends = flat.agg(F.percentile(angle, low).alias("a"), F.percentile(angle, high).alias("b")).first()
-    stains = [v @ np.array([math.cos(a), math.sin(a)]) for a in ((ends["a"] or 0.0), (ends["b"] or 0.0))]
-    stains = sorted((s / np.linalg.norm(s) for s in stains), key=lambda s: -s[0])
+    angle = (1 - F.col("q") / F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q"))) * F.signum("p")
+    angles = cut(flat.select(angle.alias("angle")))
+    n = angles.count()
+    ends = at_ranks(angles, "angle", [min(int(share * n + 0.5), n - 1) for share in (low, high)]) if n else [1.0, 1.0]
+    stains = []
+    for a in ends:
+        across = 1 - abs(a)
+        stains.append(v @ np.array([math.copysign(math.sqrt(max(0.0, 1 - across**2)), a), across]))
+    stains = sorted((s / max(1e-12, np.linalg.norm(s)) for s in stains), key=lambda s: -s[0])
     third = np.cross(*stains)
     return np.column_stack([*stains, third / max(1e-12, np.linalg.norm(third))])
 

@@ -108,11 +108,11 @@ def _(t):
     return out.select(F.substring_index("key", "/", -1).alias("object_id"), "classification")
 
 
-@query("s11_tile_images")
+@query("s11_tile_images", "select 'txt' as extension, sum(octet_length(encode(html)) + 1)::bigint as bytes from {pages} where html is not null")
 def _(t):
     path = _folder(t)
-    t("pages").select("html").write.text(path, lineSep="\u0001")
-    return readers.read_tile_images(t.spark, path, "*.txt").select("extension", F.octet_length("content").alias("bytes"))
+    t("pages").select("html").where("html is not null").write.text(path, lineSep="\u0001")
+    return readers.read_tile_images(t.spark, path, "*.txt").groupBy("extension").agg(F.sum(F.octet_length("content")).alias("bytes"))
 
 
 def _objects(t: Tables) -> DataFrame:
@@ -147,6 +147,17 @@ def _(t):
     return t.spark.read.parquet(path).withColumn("image", F.col("image").cast("string"))
 
 
-@query("k4_expression", """select cell_id as object, coalesce(sum(n) filter (gene = 'Brand#1'), 0) as "Brand#1" from {expr} group by cell_id""")
+_PANEL = ["Brand#1", "Brand#12", "Brand#3", "Brand#7"]
+_PANEL_SQL = ", ".join(f"coalesce(sum(n) filter (gene = '{g}'), 0) as \"{g}\"" for g in _PANEL)
+
+
+@query("k4_expression", f"select cell_id as object, {_PANEL_SQL} from {{expr}} group by cell_id")
 def _(t):
-    return writers.expression_rows(t("expr"), ["Brand#1"])
+    return writers.expression_rows(t("expr"), _PANEL)
+
+
+@query("k3_tile_shards", "select count(*) as tiles from {cells} join {customer} on c_custkey = cell_id where classification is not null")
+def _(t):
+    images = t("customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").cast("binary").alias("content"))
+    labels = select.drop_unlabelled(t("cells")).select(F.col("cell_id").cast("string").alias("key"), F.col("classification").alias("label"))
+    return writers.write_tile_shards(images, labels, _folder(t).removeprefix("file:"), 100).agg(F.sum("tiles").alias("tiles"))

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Names that may become columns, and rows of a few numbers that may be broadcast.
+MAX_COLUMNS, MAX_BROADCAST = 5_000, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     It is the folder that ``spark.checkpoint.dir`` names. Only where that is
-    unset (tests on one machine) a temporary folder is made.
+    unset and the master is local a temporary folder is made; on a cluster other
+    machines would not see it, so there it is an error.
     """
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here is None:
-        here = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        here = spark.conf.get("spark.checkpoint.dir", None)
+        if not here:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            here = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(here)
         here = sc.getCheckpointDir()
     return here
@@ -38,3 +47,16 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a cut or written frame of a few short columns, to be broadcast if it has at most ``MAX_BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def distinct_names(df: DataFrame, column: str) -> list[str]:
+    """Distinct values, in order, that are to become columns; more than ``MAX_COLUMNS`` of them raise."""
+    names = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"{column} has more than {MAX_COLUMNS} values; choose a panel, or keep the rows long")
+    return sorted(names)

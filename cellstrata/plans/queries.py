@@ -329,6 +329,15 @@ def _(t):
     return graph.neighbourhood_enrichment(t("cells"), t("edges"), ["Tumor"], k=1).withColumns(r6("prob"))
 
 
+@query("g6_enrichment_by_annotation", """
+    with near as (select src as seed, dst as cell_id from {edges} union all select cell_id, cell_id from {cells})
+    select seed as cell_id, count(*) as total, round(avg(case when a.classification = 'Region_A' then 1.0::double else 0.0::double end), 6) as prob
+    from near join {cells} c using (cell_id) left join {annotations} a using (annotation_id) group by seed""")
+def _(t):
+    out = graph.neighbourhood_enrichment(t("cells"), t("edges"), ["Region_A"], k=1, by="annotation", annotations=t("annotations"))
+    return out.withColumns(r6("prob"))
+
+
 @query("g7_boundary_layers", f"with recursive {_LAYERS} select * from layers")
 def _(t):
     return graph.boundary_layers(t("cells"), t("edges"), ["Tumor"])
@@ -386,6 +395,15 @@ def _(t):
     return spatial.kernel_density(t("cells"), ["Tumor"], 10.0).withColumns(r6("density"))
 
 
+@query("d1_density_by_annotation", """
+    with d as (select c.* from {cells} c join {annotations} a using (annotation_id) where a.classification = 'Region_A'),
+    k as (select c.cell_id, sum(exp(-(power(c.x-d.x, 2) + power(c.y-d.y, 2)) / 200)) as density from {cells} c join d
+          on power(c.x-d.x, 2) + power(c.y-d.y, 2) <= 2500 group by c.cell_id)
+    select cell_id, round(coalesce(density, 0), 6) as density from {cells} left join k using (cell_id)""")
+def _(t):
+    return spatial.kernel_density(t("cells"), ["Region_A"], 10.0, "annotation", t("annotations")).withColumns(r6("density"))
+
+
 @query("c1_panel_pairs", "select distinct ligand, receptor from {lr_pairs} where ligand in (select gene from {expr}) and receptor in (select gene from {expr})")
 def _(t):
     return spatial.panel_pairs(t("lr_pairs"), t("expr"))
@@ -718,10 +736,21 @@ def _(t):
     return enrich.forward_comparative(t("cells"), t("expr"), ["Tumor"], *_brand_map(t), genes=10)
 
 
-@query("x12_reverse_score")
+@query("x12_forward_differential")
+def _(t):
+    labels = t("cells").where("classification is not null").select("cell_id", F.col("classification").alias("label"))
+    return enrich.forward_differential(t("expr"), labels, *_brand_map(t), genes=10)
+
+
+@query("x12_reverse_score", """
+    with w as (select p_brand as gene, count(distinct p_type) as weight from {part} where concat('T:', p_type) > 'T:M' group by p_brand),
+    f as (select cell_id, gene, row_number() over (partition by cell_id order by n desc, gene) as r from {expr}),
+    raw as (select cell_id, sum(coalesce(weight, 0)) as raw from f left join w using (gene) where r <= 5 group by cell_id),
+    e as (select min(raw) as low, sum(raw - (select min(raw) from raw)) as total from raw)
+    select cell_id, round(case when total > 0 then (raw - low)::double / total * 100000 else 0 end, 6) as score from raw, e""")
 def _(t):
     brands, assoc = _brand_map(t)
-    return enrich.reverse_score(t("expr"), assoc.select("go_id").where("go_id > 'T:M'"), assoc, brands, 5)
+    return enrich.reverse_score(t("expr"), assoc.select("go_id").where("go_id > 'T:M'"), assoc, brands, 5).withColumns(r6("score"))
 
 
 # ---- tiles --------------------------------------------------------------
@@ -867,10 +896,12 @@ def _(t):
     return tiles.regions_by_label(_labels(t), 16.0)
 
 
-@query("m16_tissue_tiles")
+@query("m16_tissue_tiles", """
+    with g as (select floor(px / 16)::bigint as gx, floor(py / 16)::bigint as gy, avg((r + g + b) / 3.0::double) as mean from {pixels} group by 1, 2),
+    i as (select *, gx - row_number() over (partition by gy order by gx) as part from g where mean < 128)
+    select gx, gy, round(mean, 6) as mean from i qualify count(*) over (partition by gy, part) >= 2""")
 def _(t):
-    pixels = t("pixels").withColumn("px", F.col("px") % 4096)
-    return tiles.tissue_tiles(pixels, 128.0, min_tiles=2)
+    return tiles.tissue_tiles(t("pixels"), 128.0, min_tiles=2).select("gx", "gy", F.round("mean", 6).alias("mean"))  # all in one row of tiles
 
 
 # ---- data sets ----------------------------------------------------------
@@ -915,6 +946,10 @@ def _(t):
     return datasets.evaluate(t("predictions")).withColumns(r6("share", "accuracy"))
 
 
-@query("t7_validate_tiles", "select true as square, true as one_size, true as one_extension")
+@query("t7_validate_tiles", """
+    select bool_and(x1 - x0 + 20 = y1 - y0) as square, count(distinct (x1 - x0, y1 - y0 + object_id % 2)) <= 1 as one_size, count(distinct object_id % 3) <= 1 as one_extension from {boxes}""")
 def _(t):
-    return datasets.validate_tiles(_grid(t).withColumn("extension", F.lit("png")))
+    side = t("boxes").select((F.col("x1") - F.col("x0") + 20).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), "object_id")
+    square = datasets.validate_tiles(side.select("w", "h", F.lit("png").alias("extension"))).select("square")
+    mixed = datasets.validate_tiles(side.select("w", (F.col("h") + F.col("object_id") % 2).alias("h"), (F.col("object_id") % 3).cast("string").alias("extension")))
+    return square.crossJoin(mixed.select("one_size", "one_extension"))  # one row each

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from cellstrata.operators.graph import dense_index
-from cellstrata.plans.lineage import cut
+from cellstrata.plans.lineage import cut, distinct_names, small, written
 
 
 def omero_rows(objects: DataFrame, measurements: DataFrame, exclude: tuple[str, ...] = (), label_prefix: str = "") -> DataFrame:
@@ -19,7 +26,7 @@ def omero_rows(objects: DataFrame, measurements: DataFrame, exclude: tuple[str,
     ring = F.concat(F.col("polygon"), F.array(F.col("polygon")[0]))
     outline = F.concat(F.lit("POLYGON (("), F.array_join(F.transform(ring, corner), ", "), F.lit("))"))
     m = measurements.where(~F.col("name").isin(*exclude)) if exclude else measurements
-    names = sorted(r["name"] for r in m.select("name").distinct().collect())
+    names = distinct_names(m, "name")
     wide = m.groupBy("cell_id").pivot("name", names).agg(F.first("value"))
     out = dense_index(kept, "cell_id", "secondary_object").join(wide, "cell_id", "left")
     return out.select(
@@ -45,7 +52,7 @@ def write_anndata_tables(cells: DataFrame, measurements: DataFrame, path: str, e
     """
     obs = cut(dense_index(cells.select("cell_id", "classification", F.col("x").alias("centroid_x"), F.col("y").alias("centroid_y")), "cell_id"))
     var = cut(dense_index(measurements.select("name").distinct(), "name", "col_idx"))
-    x = measurements.join(obs.select("cell_id", "row_idx"), "cell_id").join(F.broadcast(var), "name").select("row_idx", "col_idx", F.col("value").cast("float").alias("value"))
+    x = measurements.join(obs.select("cell_id", "row_idx"), "cell_id").join(small(var), "name").select("row_idx", "col_idx", F.col("value").cast("float").alias("value"))
     obs.write.parquet(f"{path}/obs")
     var.withColumn("name", F.translate("name", "µμ", "uu")).write.parquet(f"{path}/var")
     x.write.parquet(f"{path}/X")
@@ -61,6 +68,44 @@ def write_tile_dataset(tiles: DataFrame, labels: DataFrame, path: str, shard_row
     rows.write.option("maxRecordsPerFile", shard_rows).parquet(path)
 
 
+def write_tile_shards(tiles: DataFrame, labels: DataFrame, path: str, shard_rows: int = 1000, extension: str = "png") -> DataFrame:
+    """K3 as tar files of at most ``shard_rows`` tiles: ``<id>.<extension>`` and ``<id>.cls`` for each; the manifest ``(file, tiles)``.
+
+    Tasks write under fresh names into ``path``, a folder that every executor
+    reaches, and only files of the manifest count, so a repeated task does no harm.
+    """
+    rows = tiles.join(labels, "key").select(F.col("key").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.col("content").cast("binary").alias("image"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        files.create_dir(folder, recursive=True)
+        shard, stream, name, n = None, None, "", 0
+
+        def done() -> pa.RecordBatch:
+            shard.close()
+            stream.close()
+            return pa.RecordBatch.from_pylist([{"file": name, "tiles": n}])
+
+        for batch in batches:
+            for key, label, image in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard is not None and n == shard_rows:
+                    yield done()
+                    shard = None
+                if shard is None:
+                    base, n = f"shard-{uuid.uuid4().hex}.tar", 0
+                    name, stream = f"{path}/{base}", files.open_output_stream(f"{folder}/{base}", compression=None)
+                    shard = tarfile.open(fileobj=stream, mode="w|")
+                for suffix, content in ((extension, image or b""), ("cls", (label or "").encode())):
+                    info = tarfile.TarInfo(f"{key}.{suffix}")
+                    info.size = len(content)
+                    shard.addfile(info, io.BytesIO(content))
+                n += 1
+        if shard is not None:
+            yield done()
+
+    return written(rows.mapInArrow(write, "file string, tiles long"), "shards")
+
+
 def expression_rows(expr: DataFrame, genes: list[str], labels: DataFrame | None = None) -> DataFrame:
     """Rows of K4: one for each cell, 0 where a gene of the panel is not seen."""
     wide = expr.groupBy("cell_id").pivot("gene", genes).agg(F.sum("n")).na.fill(0)
@@ -70,5 +115,5 @@ def expression_rows(expr: DataFrame, genes: list[str], labels: DataFrame | None
 
 def write_expression_csv(expr: DataFrame, path: str, labels: DataFrame | None = None) -> None:
     """K4: the dense matrix as CSV."""
-    genes = sorted(r["gene"] for r in expr.select("gene").distinct().collect())
+    genes = distinct_names(expr, "gene")
     expression_rows(expr, genes, labels).write.csv(path, header=True)

@@ -2,12 +2,16 @@
 
 import math
 import random
+import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellstrata.functions.quantiles import quantiles
 from cellstrata.operators import assign, datasets, expression, graph, register, select, spatial, tiles
 from cellstrata.operators.components import connected_components
+from cellstrata.sources import writers
 
 
 def path_cells(spark, classes):
@@ -124,7 +128,7 @@ def test_bh_is_monotone_and_not_below_p(spark):
     ps = [0.001, 0.8, 0.01, 0.02, 0.02, 0.5]
     df = spark.createDataFrame([("a", f"g{i}", p) for i, p in enumerate(ps)], "label string, gene string, p double")
     out = sorted((r.p, r.q) for r in expression.bh_adjust(df, "p", "q", ["label"], "gene").collect())
-    assert all(q >= p for p, q in out) and all(a[1] <= b[1] for a, b in zip(out, out[1:])) and out[-1][1] == 0.8
+    assert all(q >= p for p, q in out) and all(a[1] <= b[1] for a, b in zip(out, out[1:])) and math.isclose(out[-1][1], 0.8)
 
 
 def test_communities_of_two_cliques(spark):
@@ -150,6 +154,73 @@ def test_stain_matrix_has_unit_columns_and_normalising_to_itself_changes_nothing
     assert all(abs(a.r - b[1]) <= 1 and abs(a.b - b[3]) <= 1 for a, b in zip(same, rows))
 
 
+def test_stain_matrix_against_arrays(spark):
+    r = np.random.default_rng(6)
+    rgb = r.integers(20, 250, (5000, 3))
+    pixels = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(rgb)], "px long, r int, g int, b int")
+    od = np.maximum(0, -np.log(np.maximum(rgb, 1e-10) / 255) * 255 / np.log(255)).T
+    v = np.linalg.eigh(od @ od.T)[1][:, [2, 1]]
+    v = v * np.sign(v[np.abs(v).argmax(0), [0, 1]])
+    p = v.T @ od
+    p = p[:, np.linalg.norm(p, axis=0) > 16]
+    p = p / np.linalg.norm(p, axis=0)
+    order = np.argsort((1 - p[1]) * np.sign(p[0]))
+    ends = [v @ p[:, order[min(int(s * len(order) + 0.5), len(order) - 1)]] for s in (0.01, 0.99)]
+    want = np.stack(sorted(ends, key=lambda x: -x[0]), 1)
+    assert np.allclose(tiles.stain_matrix(pixels)[:, :2], want, atol=1e-6)
+
+
+def test_quantiles_are_those_of_the_sorted_values(spark):
+    r = random.Random(8)
+    values = [r.gauss(0, 1) ** 5 for _ in range(9000)] + [0.25] * 4000 + [1e300, -1e300]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    want = np.quantile(values, [0, 0.01, 0.5, 0.613, 0.99, 1])
+    assert np.allclose(quantiles(df, "v", [0, 0.01, 0.5, 0.613, 0.99, 1]), want, rtol=1e-12)
+    assert quantiles(df.where("v is null"), "v", [0.5]) == [None]
+
+
+def test_normal_tails(spark):
+    zs = [0.0, 0.3, -1.5, 2.9, 3.0, 3.1, -5.0, 8.0, 20.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double")
+    got = [x.p for x in df.select(expression.two_sided(F.col("z")).alias("p")).collect()]
+    assert all(math.isclose(p, math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-9) for p, z in zip(got, zs))
+
+
+def test_components_are_those_of_the_centred_matrix(spark):
+    r = np.random.default_rng(2)
+    x = np.round(r.gamma(2, 1, (40, 6)), 3)
+    df = spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(40) for j in range(6)], "cell_id long, gene string, n double")
+    got = np.array([y.pc for y in expression.pca(df, 3).orderBy("cell_id").collect()])
+    c = x - x.mean(0)
+    want = c @ np.linalg.svd(c)[2][:3].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_tar_shards(spark, tmp_path):
+    images = spark.createDataFrame([(str(i), bytes([i] * i)) for i in range(25)], "key string, content binary").repartition(2)
+    labels = spark.createDataFrame([(str(i), f"c{i % 3}") for i in range(24)], "key string, label string")
+    found = {}
+    for row in writers.write_tile_shards(images, labels, str(tmp_path / "t"), 5).collect():
+        with tarfile.open(row.file) as f:
+            names = f.getnames()
+            assert len(names) == 2 * row.tiles <= 10
+            found |= {n: f.extractfile(n).read() for n in names}
+    assert found == {f"{i}.png": bytes([i] * i) for i in range(24)} | {f"{i}.cls": f"c{i % 3}".encode() for i in range(24)}
+
+
+def test_split_keeps_keys_on_one_side_and_sample_has_its_size(spark):
+    rows = spark.createDataFrame([(str(i % 500), i) for i in range(1000)], "key string, n long")
+    out = datasets.train_validation_split(rows, 0.8)
+    assert out.groupBy("key").agg(F.count_distinct("part").alias("k")).where("k > 1").count() == 0
+    assert 0.7 < out.where("part = 'train'").count() / 1000 < 0.9
+    cells = spark.range(300).withColumnRenamed("id", "cell_id")
+    some = [x.cell_id for x in select.sample_cells(cells, 50, 3).collect()]
+    assert len(set(some)) == 50 and sorted(some) == sorted(x.cell_id for x in select.sample_cells(cells.repartition(7), 50, 3).collect())
+    m = spark.createDataFrame([(i, n, float(i)) for i in range(100) for n in ("max_diameter", "min_diameter")], "cell_id long, name string, value double")
+    assert spatial.mean_cell_size(m).first().size == 49.5 == spatial.mean_cell_size(m, sample=100).first().size
+    assert 0 <= spatial.mean_cell_size(m, sample=10).first().size <= 99
+
+
 def test_balance_draws_n_of_each_class(spark):
     rows = spark.createDataFrame([(str(i), "a" if i % 3 else "b") for i in range(30)], "key string, classification string")
     assert dict(datasets.class_counts(datasets.balance_classes(rows, 12)).collect()) == {"a": 12, "b": 12}

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cellstrata.plans import io_queries  # noqa: F401
@@ -22,7 +23,7 @@ def sql():
 
 def rows(frame):
     def one(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if not isinstance(v, (list, tuple, dict)) and getattr(v, "ndim", 0) == 0 and pd.isna(v):
             return "~"
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             return str(v)
