@@ -1,69 +1,50 @@
 """Licence scan by a positional index of rare words.
 
-Templates are short licence notices; in each, the words of its mandatory key
-phrases have fixed places. The index holds, for every template, postings
-``word -> (template, place)`` of its rarest key words, rarity being the
-inverse document frequency over all documents scanned. A file looks up its
-rare licence words, each hit says where the notice would begin, and the starts
-at which all rare words of a template agree are verified: every key phrase
-must stand at its place. As the rare words are key words, rarity decides how
-few places are looked at, never what is found.
+Templates are public licence texts and notices with mandatory key phrases. The
+index holds, for every key phrase, postings ``word -> (phrase, place)`` of its
+rarest words, rarity being the inverse document frequency over all documents
+scanned. A file looks up its licence words, highest IDF first: each opens the
+phrases of which it is the rarest word, the places of the phrase's other rare
+words are intersected with it by relative position, and the phrase is verified
+word by word at the places left. In a phrase of ``GAPPED`` words or more, one
+foreign word may stand between two words. A template is found where its first
+key phrase stands and every other one follows at its distance in the template,
+give or take ``SLACK`` words and a quarter of that distance.
+
+As the rare words are words of the phrase, rarity decides how few places are
+looked at, never what is found. A file's score is the largest share of a found
+template's distinct words that it holds.
 
 Words are lower-cased (A to Z only) runs of digits, letters and characters
-beyond ASCII. Base phrases are searched besides.
+beyond ASCII. Base phrases, without foreign words, are searched besides.
 
-Cases: a null or empty text has no words, no labels, score 0 and null places;
-repeated rows each get their result; other columns are ignored; an empty table
+Cases: a null or empty text has no words, no labels, score 0 and null places; a
+text of any length is scanned whole; of words equally rare, the earlier in the
+phrase goes first, which changes no result; repeated rows each get their
+result, so do rows of a null key; other columns are ignored; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cellstrata.llm.licence_texts import TEMPLATES
+
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label and notice; mandatory key phrases stand in brackets.
-TEMPLATES = (
-    ("mit", "released [under the mit license]"),
-    ("mit", "[permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files]"),
-    ("apache-2", "licensed under the [apache license version 2] 0"),
-    ("apache-2", "[apache 2 0 license]"),
-    ("bsd", "[redistribution and use in source and binary forms with or without modification are permitted provided that]"),
-    ("bsd-3", "licensed under the [bsd 3 clause]"),
-    ("bsd-2", "licensed under the [bsd 2 clause]"),
-    ("bsd-3", "[neither the name of] the copyright holder"),
-    ("gpl", "this work is licensed under the [gnu general public license]"),
-    ("gpl-2", "licensed under the [gnu general public license version 2]"),
-    ("gpl-3", "licensed under the [gnu general public license version 3]"),
-    ("gpl-3", "licensed under the [gpl v3]"),
-    ("lgpl", "licensed under the [gnu lesser general public license]"),
-    ("agpl", "licensed under the [gnu affero general public license]"),
-    ("mpl-2", "subject to the terms of the [mozilla public license v 2 0]"),
-    ("mpl-2", "licensed under the [mozilla public license version 2]"),
-    ("isc", "[permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted]"),
-    ("isc", "licensed [under the isc license]"),
-    ("epl-2", "licensed under the [eclipse public license] 2 0"),
-    ("boost-1", "distributed under the [boost software license version 1]"),
-    ("unlicense", "this is [free and unencumbered software released into the public domain]"),
-    ("cc0-1", "licensed under [cc0 1 0]"),
-    ("cc0-1", "[creative commons zero]"),
-    ("cc-by-nc", "licensed under [cc by nc] 4 0"),
-    ("cc-by-nc-sa", "licensed under [cc by nc sa] 4 0"),
-    ("cc-by-nc-nd", "licensed under [cc by nc nd] 4 0"),
-    ("cc-by-sa", "licensed under [cc by sa] 4 0"),
-    ("cc-by-nd", "licensed under [cc by nd] 4 0"),
-    ("cc-by", "licensed under [cc by] 4 0"),
-    ("cc-by", "[creative commons attribution] 4 0 international"),
-    ("cc-by-sa", "[creative commons attribution sharealike]"),
-    ("cc-by-nc", "[creative commons attribution noncommercial]"),
-    ("proprietary", "[all rights reserved] no part of this"),
-)
+#: Key phrases of at least so many words may have one foreign word between two words.
+GAPPED = 8
+
+#: Words, besides a quarter of the distance, by which a later key phrase may stand off.
+SLACK = 8
 
 #: Bytes that are not part of a word become blanks; the rest stay.
 _BLANKS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -73,17 +54,37 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(_BLANKS).split() if text else []
 
 
+class Phrase:
+    """A mandatory phrase: its words, its distance from the first one, and foreign words allowed between two of its own."""
+
+    def __init__(self, ws: list[bytes], distance: int):
+        self.words, self.distance, self.gap = ws, distance, int(len(ws) >= GAPPED)
+        self.slack = SLACK + distance // 4
+
+    def starts(self, ws: list[bytes], q: int, at: int) -> set[int]:
+        """Places in ``ws`` where the phrase starts if its word ``q`` is the one at ``at``."""
+        return self._walk(ws, at, range(q - 1, -1, -1), -1) if self._walk(ws, at, range(q + 1, len(self.words)), 1) else set()
+
+    def _walk(self, ws: list[bytes], at: int, order: range, way: int) -> set[int]:
+        reached = {at}
+        for q in order:
+            word = self.words[q]
+            reached = {p for e in reached for d in range(1, self.gap + 2) if 0 <= (p := e + way * d) < len(ws) and ws[p] == word}
+            if not reached:
+                break
+        return reached
+
+
 class Template:
-    def __init__(self, label: str, notice: str):
-        self.label, self.words, self.key = label, [], []
-        inside = False
-        for part in notice.replace("[", " [ ").replace("]", " ] ").split():
-            if part in "[]":
-                inside = part == "["
-            else:
-                if inside:
-                    self.key.append(len(self.words))
-                self.words.append(part.encode())
+    def __init__(self, label: str, text: str):
+        self.label, self.words, self.phrases = label, [], []
+        for n, part in enumerate(re.split(r"[\[\]]", text)):
+            if n % 2:
+                self.phrases.append((len(self.words), words(part)))
+            self.words += words(part)
+        first = self.phrases[0][0]
+        self.phrases = [Phrase(ws, at - first) for at, ws in self.phrases]
+        self.distinct = frozenset(self.words)
 
 
 def parsed() -> list[Template]:
@@ -108,43 +109,71 @@ def document_frequency(documents: DataFrame, text: str = "text") -> tuple[int, d
     return found.pop(b"", 0), found
 
 
+def _any(places: list[int], low: int, high: int) -> bool:
+    """Whether one of the sorted ``places`` lies in ``low`` to ``high``."""
+    n = bisect_left(places, low)
+    return n < len(places) and places[n] <= high
+
+
 class Index:
-    """Postings of the ``rare`` highest-IDF key words of every template."""
+    """Postings of the ``rare`` highest-IDF words of every key phrase."""
 
     def __init__(self, total: int, frequency: dict[bytes, int], rare: int = 3):
         self.templates = parsed()
-        idf = lambda w: math.log((1 + total) / (1 + frequency.get(w, 0)))
+        self.idf = lambda w: math.log((1 + total) / (1 + frequency.get(w, 0)))
+        self.phrases = [p for t in self.templates for p in t.phrases]
+        self.rare = [self._rarest(p.words)[: max(1, rare)] for p in self.phrases]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.needed: list[int] = []
-        for k, t in enumerate(self.templates):
-            places = sorted(t.key, key=lambda q: (-idf(t.words[q]), q))[:rare]
-            self.needed.append(len(places))
+        for f, (phrase, places) in enumerate(zip(self.phrases, self.rare)):
             for q in places:
-                self.postings.setdefault(t.words[q], []).append((k, q))
+                self.postings.setdefault(phrase.words[q], []).append((f, q))
         self.base = [(phrase.encode().split(), label) for phrase, label in BASE.items()]
-        for phrase, _ in self.base:
-            rarest = max(range(len(phrase)), key=lambda q: idf(phrase[q]))
-            self.postings.setdefault(phrase[rarest], [])
-        self.anchors = [max(range(len(p)), key=lambda q: idf(p[q])) for p, _ in self.base]
+        self.anchors = [self._rarest(phrase)[0] for phrase, _ in self.base]
+        for (phrase, _), q in zip(self.base, self.anchors):
+            self.postings.setdefault(phrase[q], [])
+
+    def _rarest(self, ws: list[bytes]) -> list[int]:
+        return sorted(range(len(ws)), key=lambda q: (-self.idf(ws[q]), q))
+
+    def _starts(self, f: int, ws: list[bytes], places: dict[bytes, list[int]]) -> list[int]:
+        """Sorted places at which phrase ``f`` starts: its rare words' places intersected by distance, then every word."""
+        phrase, (q, *others) = self.phrases[f], self.rare[f]
+        found: set[int] = set()
+        for at in places[phrase.words[q]]:
+            for other in others:
+                near, far = other - q, (other - q) * (1 + phrase.gap)
+                if not _any(places.get(phrase.words[other], []), at + min(near, far), at + max(near, far)):
+                    break
+            else:
+                found |= phrase.starts(ws, q, at)
+        return sorted(found)
 
     def scan(self, ws: list[bytes]) -> dict:
         """Labels, base places and score of one file."""
-        postings = self.postings
-        base: list[tuple[int, str]] = []
-        votes: dict[tuple[int, int], int] = {}
-        for p, w in [(p, w) for p, w in enumerate(ws) if w in postings]:
-            for k, q in postings[w]:
-                if p >= q:
-                    votes[k, p - q] = votes.get((k, p - q), 0) + 1
-            for (phrase, label), anchor in zip(self.base, self.anchors):
-                if w == phrase[anchor] and p >= anchor and ws[p - anchor : p - anchor + len(phrase)] == phrase:
-                    base.append((p - anchor, label))
+        places: dict[bytes, list[int]] = {}
+        for p, w in enumerate(ws):
+            if w in self.postings:
+                places.setdefault(w, []).append(p)
+        base = []
+        for (phrase, label), q in zip(self.base, self.anchors):
+            base += [(p - q, label) for p in places.get(phrase[q], ()) if p >= q and ws[p - q : p - q + len(phrase)] == phrase]
+        starts: dict[int, list[int]] = {}
+        for w in sorted(places, key=lambda w: (-self.idf(w), w)):
+            for f, q in self.postings[w]:
+                if q == self.rare[f][0]:
+                    starts[f] = self._starts(f, ws, places)
         found: list[tuple[int, str, float]] = []
-        for (k, start), n in votes.items():
-            t = self.templates[k]
-            if n == self.needed[k] and all(start + q < len(ws) and ws[start + q] == t.words[q] for q in t.key):
-                same = sum(a == b for a, b in zip(t.words, ws[start : start + len(t.words)]))
-                found.append((start, t.label, same / len(t.words)))
+        held, f = None, 0
+        for t in self.templates:
+            at = [starts.get(f + i, []) for i in range(len(t.phrases))]
+            f += len(t.phrases)
+            if not all(at):
+                continue
+            begins = [s for s in at[0] if all(_any(a, s + p.distance - p.slack, s + p.distance + p.slack) for a, p in zip(at[1:], t.phrases[1:]))]
+            if begins:
+                held = frozenset(ws) if held is None else held
+                score = len(t.distinct & held) / len(t.distinct)
+                found += [(s, t.label, score) for s in begins]
         labels = {label for _, label in base}
         return {
             "n_words": len(ws),

@@ -67,24 +67,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _licence_sql() -> str:
-    """Every start of every notice, without the index."""
-    text = lambda w: "'" + w.decode() + "'"
-    notices = licences.parsed()
-    places = ", ".join(f"({k}, {q}, {text(w)}, {int(q in t.key)})" for k, t in enumerate(notices) for q, w in enumerate(t.words))
-    meta = ", ".join(f"({k}, '{t.label}', {len(t.words)}, {len(t.key)})" for k, t in enumerate(notices))
+    """Every place of every key phrase, word after word, without the index."""
+    templates = licences.parsed()
+    listed = lambda rows: ", ".join(str(r) for r in rows)
+    phrases = [(k, i, p) for k, t in enumerate(templates) for i, p in enumerate(t.phrases)]
+    steps = listed((f, j, w.decode()) for f, (_, _, p) in enumerate(phrases) for j, w in enumerate(p.words))
+    phrase = listed((f, k, i, len(p.words), p.gap, p.distance, p.slack) for f, (k, i, p) in enumerate(phrases))
+    template = listed((k, t.label, len(t.phrases), len(t.distinct)) for k, t in enumerate(templates))
+    members = listed((k, w.decode()) for k, t in enumerate(templates) for w in sorted(t.distinct))
     base = [(label, phrase.split()) for phrase, label in licences.BASE.items()]
-    base_places = ", ".join(f"({k}, {q}, '{w}')" for k, (_, ws) in enumerate(base) for q, w in enumerate(ws))
-    base_meta = ", ".join(f"({k}, '{label}', {len(ws)})" for k, (label, ws) in enumerate(base))
+    base_places = listed((k, q, w) for k, (_, ws) in enumerate(base) for q, w in enumerate(ws))
+    base_meta = listed((k, label, len(ws)) for k, (label, ws) in enumerate(base))
     upper = "".join(map(chr, range(65, 91)))
     return f"""
-        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
-        tok as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from d),
-        places(k, q, word, key) as (values {places}),
-        meta(k, label, n, n_key) as (values {meta}),
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+        steps(f, j, word) as (values {steps}),
+        phrase(f, k, i, n, gap, distance, slack) as (values {phrase}),
+        template(k, label, n_phrases, n_words) as (values {template}),
+        member(k, word) as (values {members}),
         base_places(k, q, word) as (values {base_places}),
         base_meta(k, label, n) as (values {base_meta}),
-        hits as (select doc_id, k, p - q as s, count(*) as same, sum(key) as keys from tok join places using (word) where p >= q group by all),
-        found as (select doc_id, label, same / n::double as score from hits join meta using (k) where keys = n_key),
+        tok as (select * from (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from d) where word in (select word from member)),
+        walk as (
+            select doc_id, f, 0 as j, p as s, p as e from tok join steps using (word) where j = 0
+            union
+            select walk.doc_id, walk.f, walk.j + 1, walk.s, tok.p
+            from walk join steps on steps.f = walk.f and steps.j = walk.j + 1 join phrase on phrase.f = walk.f
+            join tok on tok.doc_id = walk.doc_id and tok.word = steps.word and tok.p between walk.e + 1 and walk.e + 1 + phrase.gap
+        ),
+        stands as (select distinct doc_id, f, k, i, s, n_phrases, distance, slack from walk join phrase using (f) join template using (k) where j = n - 1),
+        begins as (select a.doc_id, a.k, a.s from stands a join stands b on a.doc_id = b.doc_id and a.k = b.k and abs(b.s - a.s - b.distance) <= b.slack
+                   where a.i = 0 and (b.i > 0 or b.s = a.s) group by a.doc_id, a.k, a.s, a.n_phrases having count(distinct b.i) = a.n_phrases),
+        held as (select doc_id, k, count(distinct word) as n from tok join member using (word) group by all),
+        found as (select distinct doc_id, label, held.n / n_words::double as score from begins join held using (doc_id, k) join template using (k)),
         base_hits as (select doc_id, k, p - q as s, count(*) as same from tok join base_places using (word) where p >= q group by all),
         based as (select doc_id, label, s from base_hits join base_meta using (k) where same = n),
         b as (select doc_id, count(*) as n_base, min(s) as first_word, max(s) as last_word, string_agg(distinct label, ',' order by label) as base_labels from based group by doc_id),

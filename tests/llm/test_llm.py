@@ -8,12 +8,15 @@ import re
 import struct
 from html import unescape
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from cellstrata.llm import bpe, decontaminate, extract, jaccard, licences, neighbours, pii, quality, toxicity, warc, words
+from cellstrata.llm.queries import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 LONG = "abc déf 1234 " * 40_000
@@ -454,29 +457,73 @@ def test_permutations_are_one_to_one(spark):
 # ---- 7 ------------------------------------------------------------------
 
 
+def plain_places(ws, phrase):
+    """Every start of a key phrase, tried word by word."""
+    follows = lambda p, q: q == len(phrase.words) or any(ws[e] == phrase.words[q] and follows(e, q + 1) for e in range(p + 1, min(p + 2 + phrase.gap, len(ws))))
+    return [p for p in range(len(ws)) if ws[p] == phrase.words[0] and follows(p, 1)]
+
+
 def plain_licences(text):
     ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     base = [(p, label) for phrase, label in licences.BASE.items() for p in range(len(ws)) if ws[p : p + len(phrase.split())] == phrase.split()]
     labels, score = {x for _, x in base}, 0.0
+    coded = [w.encode() for w in ws]
     for t in licences.parsed():
-        tw = [w.decode() for w in t.words]
-        for s in range(len(ws)):
-            if all(s + q < len(ws) and ws[s + q] == tw[q] for q in t.key):
-                labels.add(t.label)
-                score = max(score, sum(a == b for a, b in zip(tw, ws[s:])) / len(tw))
+        first, *others = [(p, plain_places(coded, p)) for p in t.phrases]
+        if any(all(any(abs(b - a - p.distance) <= p.slack for b in at) for p, at in others) for a in first[1]):
+            labels.add(t.label)
+            score = max(score, len(t.distinct & set(coded)) / len(t.distinct))
     places = [p for p, _ in base]
     return (len(ws), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score)
 
 
+def licence_files():
+    """Whole texts, texts with a foreign word in each key phrase, with two at one place, with a key phrase far off or absent."""
+    fill = lambda n: " ".join(f"fill{i}" for i in range(n))
+    out = []
+    for label, text in licences.TEMPLATES:
+        keys = re.findall(r"\[(.*?)\]", text, re.S)
+        whole = re.sub(r"[\[\]]", " ", text)
+        out.append(f"{fill(3)} {whole} {fill(2)} {whole}")
+        for foreign in ("xx", "xx yy"):
+            out.append(re.sub(r"\[(.*?)\]", lambda m: " ".join([*m[1].split()[:2], foreign, *m[1].split()[2:]]), text, flags=re.S))
+        out += [f" {fill(300)} ".join(keys), " ".join(reversed(keys)), re.sub(r"\[[^\]]*\]$", "", text.strip().rstrip("."))]
+    return out
+
+
+def test_whole_licences_and_changed_ones():
+    index = licences.Index(0, {})
+    for (label, text), t in zip(licences.TEMPLATES, licences.parsed()):
+        ws = licences.words(text)
+        assert ws == t.words and label in index.scan([b"x", *ws])["labels"].split(",") and index.scan(ws)["score"] == 1.0
+    mit = licences.TEMPLATES[2][1]
+    labels = lambda text: index.scan(licences.words(text))["labels"]
+    assert labels(mit.replace("free of charge", "entirely free of any charge").replace("obtaining", "who obtains")) == ""
+    assert labels(mit.replace("free of charge", "free of all charge")) == "mit"
+    assert labels("gnu lesser general public license") == "lgpl" and labels("gnu some public license") == ""
+
+
 def test_licences_against_a_plain_scan(spark, odd):
     more = ["Released under the MIT License. under the mit license", "LICENSED!! UNDER!! THE!! APACHE!! LICENSE!! VERSION!! 2.0", "CC-BY-NC 4.0", "the gnu general public license, version 3"]
-    rows = [(i, t) for i, t in ODD if t is None or len(t) < 5000] + [(100 + i, t) for i, t in enumerate(more)]
+    rows = [(i, t) for i, t in ODD if t is None or len(t) < 5000] + [(100 + i, t) for i, t in enumerate(more + licence_files())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licences.op7_licences(df).collect()), key=str)
     assert got == sorted(((str(i), *plain_licences(t)) for i, t in rows), key=str)
     assert licences.op7_licences(odd).count() == len(ODD) and licences.op7_licences(odd.limit(0)).count() == 0
 
 
+def test_licences_against_the_sql(spark):
+    rows = [(i, t) for i, t in enumerate(licence_files())]
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])
+    con.register("documents", frame)
+    want = con.execute(ORACLE_SQL["op7_licences"]).fetchall()
+    columns = [c[0] for c in con.description]
+    got = licences.op7_licences(spark.createDataFrame(rows, "doc_id long, text string")).select(columns).collect()
+    clean = lambda row: tuple(None if v is None or v != v else v for v in row)
+    assert sorted(map(clean, got), key=str) == sorted(map(clean, want), key=str)
+
+
 # ---- 8 ------------------------------------------------------------------
 
 
