@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def give_back() -> None:
@@ -34,11 +34,17 @@ def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the actions inside; the session's own bound holds again afterwards."""
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, min(rows, int(before)) if int(before) > 0 else rows)
+def batches_of(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for the actions inside; the session's own bounds hold again afterwards.
+
+    A single row may be larger. Only jobs that start inside are bounded, not those of frames that are returned.
+    """
+    before = {k: spark.conf.get(k) for k in (_ROWS, _BYTES)}
+    for key, most in ((_ROWS, rows), (_BYTES, megabytes << 20)):
+        own = int(before[key].rstrip("b"))
+        spark.conf.set(key, min(most, own) if own > 0 else most)
     try:
         yield
     finally:
-        spark.conf.set(_ROWS, before)
+        for key, own in before.items():
+            spark.conf.set(key, own)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cellstrata.llm.labelled import labelled, remainder, sampled
+from cellstrata.llm.memory import batches_of
 
 THRESHOLD = 0.7
 FIGURES = (
@@ -220,8 +221,9 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", positives:
     docs = documents.select("doc_id", F.col(text).alias("t"))
     ids = sampled(train.where("label = 1"), "doc_id", positives).select("doc_id")
     rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"))
-    x_p = _table(with_figures(rows, "t"))
-    x_u = _table(with_figures(sampled(docs, "doc_id", unlabelled, repeats=True), "t"))
+    with batches_of(documents.sparkSession):
+        x_p = _table(with_figures(rows, "t"))
+        x_u = _table(with_figures(sampled(docs, "doc_id", unlabelled, repeats=True), "t"))
     if not len(x_p):
         return 0.0
     order = np.random.default_rng(5)
