@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellstrata.llm import bpe, decontaminate, jaccard, pii, quality
+from cellstrata.llm.memory import batches_of
 from cellstrata.plans.lineage import written
 
 #: Ids up to this many are sent to every executor (8 MB); more are joined by a shuffle.
@@ -20,7 +21,8 @@ BROADCAST_IDS = 1_000_000
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but those whose doc_id is in ``ids``."""
-    ids = written(ids.distinct(), "ids")
+    with batches_of(docs.sparkSession):
+        ids = written(ids.distinct(), "ids")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -52,8 +54,9 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token digests of every document."""
-    return bpe.op2_byte_bpe(docs)
+    """Token digests of every document; they are short, so they are written here, from Arrow batches of bounded size."""
+    with batches_of(spark):
+        return written(bpe.op2_byte_bpe(docs), "digests")
 
 
 STAGES = [
