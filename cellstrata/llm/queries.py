@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellstrata.llm import bpe, decontaminate, extract, jaccard, licences, neighbours, pii, quality, tokenfile, toxicity, warc
+from cellstrata.llm import bpe, decontaminate, extract, jaccard, licences, neighbours, pii, quality, repair, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.op10_html(_table(spark, sf_dir, "pages"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op11_repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op13_token_files(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
+    "op11_repair": op11_repair,
     "op13_token_files": op13_token_files,
 }
 
