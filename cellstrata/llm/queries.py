@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellstrata.llm import bpe, decontaminate, extract, jaccard, licences, neighbours, pii, quality, repair, tokenfile, toxicity, warc
+from cellstrata.llm import bpe, decontaminate, extract, jaccard, licences, neighbours, pii, quality, repair, tokenfile, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op11_repair(_table(spark, sf_dir, "conversations"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op12_prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op13_token_files(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_html": op10_html,
     "op11_repair": op11_repair,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_files": op13_token_files,
 }
 
