@@ -25,15 +25,16 @@ Special tokens that stand in a text are what the tokenizers library takes them f
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
@@ -43,6 +44,10 @@ from cellstrata.llm.warc import _open
 from cellstrata.plans.lineage import shared_dir, written
 
 END = 1
+WHITE = " \t\n\v\f\r"
+_WORDS = re.compile(r"[^ \t-\r]+").findall
+#: Letters beyond ASCII that lower() alone normalises, and whose class no version of Unicode has changed.
+_LETTERS = "À-ÖØ-öø-ÿ"
 _MAGIC = b"EFTOKEN1"
 _SAMPLE = 256  # ones between two kept places
 _FOOTER = struct.Struct("<B7xQQQQqI4x8s")  # width, documents, null keys, bytes of boundaries and of keys, smallest key, checksum, magic
@@ -124,66 +129,98 @@ class EliasFano:
 # ---- ids of texts -------------------------------------------------------
 
 
-class Coder:
-    """Ids of whole texts by a tokenizer file of the tokenizers library, an end id after each.
+class _Memo(dict):
+    """What a function gave for some strings, the first ``most`` of them."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(self) < self.most:
+            self[key] = out
+        return out
 
-    With ``by_words`` each distinct run without white space is encoded once and
-    remembered: right for tokenizers whose pieces never hold white space.
+
+class Coder:
+    """Ids of whole texts by a tokenizer file of the tokenizers library, packed, an end id after each.
+
+    With ``by_words`` each run without white space is encoded by itself, and
+    ``memo`` results are remembered: right for tokenizers whose pieces never
+    hold white space. Where the file composes, lower-cases and then splits by
+    one pattern into bytes, texts and words of Latin letters, digits and marks
+    are split here by the file's pattern, and the library's model is asked once
+    for each piece; all other words go through the whole library.
     """
 
     PIECE = 4 << 20  # characters
 
     def __init__(self, path: str, end: int, by_words: bool, memo: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.by_words, self.memo = end, by_words, memo
+        self.by_words = by_words
         self.kind = np.dtype("<u2" if max(end, self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _new(self, words: Sequence[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)
-        return {w: np.array(c.ids, self.kind).tobytes() for w, c in zip(words, coded)}
-
-    def _by_words(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        split = pc.ascii_split_whitespace(texts)
-        words = split.flatten().dictionary_encode()
-        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-        fresh = self._new([w for w in distinct if w not in self.known])
-        codes = [self.known[w] if w in self.known else fresh[w] for w in distinct]
-        if len(self.known) < self.memo:
-            self.known.update(fresh)
-        size = np.fromiter((len(c) // self.kind.itemsize for c in codes), np.int64, len(codes))
-        ids = np.frombuffer(b"".join(codes), self.kind)
-        first = np.cumsum(size) - size
-        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        begin = 0
-        for end in ends:
-            w = at[begin:end]
-            n = size[w]
-            place = np.cumsum(n) - n
-            yield ids[np.repeat(first[w] - place, n) + np.arange(int(n.sum()))]
-            begin = end
-
-    def _pieces(self, text: str) -> list[str]:
-        """A very long text cut at white space, where the tokenizer allows it."""
-        out, at = [], 0
-        while self.by_words and len(text) - at > self.PIECE:
-            cut = max(text.rfind(c, at, at + self.PIECE) for c in " \n\t\r\v\f")
-            if cut <= at:  # one word of more than a piece stays whole
-                cut = min((k for c in " \n\t\r\v\f" if (k := text.find(c, at + self.PIECE)) >= 0), default=len(text))
-            out.append(text[at:cut])
+        self.end = self._packed([end])
+        self.split = self._pattern(json.loads(self.tokenizer.to_str()))
+        added = {t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        allowed = [c for c in map(chr, range(0x100)) if c not in added and re.fullmatch(f"[!-~ \\t-\\r{_LETTERS}]", c)]
+        self.plain = re.compile(f"[{re.escape(''.join(allowed))}]*").fullmatch
+        self.letters: dict[int, str] = {}
+        self.pieces, self.words = _Memo(self._piece, memo), _Memo(self._word, memo // 4)
+
+    @staticmethod
+    def _pattern(file: dict) -> Callable[[str], list[str]] | None:
+        """``findall`` of the pattern of a file of the known form, with its classes as they are among ``_LETTERS`` and ASCII."""
+        normal, pieces = file.get("normalizer") or {}, (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        steps = [x["type"] for x in normal.get("normalizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pieces] != ["Split", "ByteLevel"]:
+            return None
+        split, to_bytes = pieces
+        plain = split["behavior"] == "Removed" and split["invert"] and not to_bytes["add_prefix_space"] and not to_bytes["use_regex"]
+        pattern = split["pattern"]["Regex"].replace("\\p{L}", f"A-Za-z{_LETTERS}").replace("\\p{N}", "0-9")
+        return re.compile(pattern).findall if plain and "\\p" not in pattern else None
+
+    def _packed(self, ids: Sequence[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            for c in piece:
+                if ord(c) not in self.letters:
+                    ((own, _),) = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)
+                    self.letters[ord(c)] = own
+            piece = piece.translate(self.letters)
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(piece)])
+
+    def _word(self, word: str) -> bytes:
+        if self.split is not None and self.plain(word):
+            return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A very long text cut at white space."""
+        at = 0
+        while len(text) - at > self.PIECE:
+            cut = max(text.rfind(c, at, at + self.PIECE) for c in WHITE)
+            if cut <= at:  # one word of more than a part stays whole
+                cut = min((k for c in WHITE if (k := text.find(c, at + self.PIECE)) >= 0), default=len(text))
+            yield text[at:cut]
             at = cut
-        return [*out, text[at:]]
-
-    def ids(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        pieces = [self._pieces(t or "") for t in texts]
-        flat = [p for ps in pieces for p in ps]
-        if self.by_words:
-            parts = self._by_words(pa.array(flat, pa.large_string()))
-        else:
-            parts = (np.array(c.ids, self.kind) for c in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False))
-        end = np.array([self.end], self.kind)
-        for ps in pieces:
-            yield np.concatenate([*(next(parts) for _ in ps), end])
+        yield text[at:]
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of one text, and the end id."""
+        if not text:
+            return self.end
+        if not self.by_words:
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
+        out = []
+        for part in self._parts(text):
+            if self.split is not None and self.plain(part):
+                out += map(self.pieces.__getitem__, self.split(part.lower()))
+            else:
+                out += map(self.words.__getitem__, _WORDS(part))
+        out.append(self.end)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=1)
@@ -201,10 +238,11 @@ class _Writer:
         self.keys: list[int] = []
         self.ids = 0
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.out.write(ids.tobytes())
-        self.ids += len(ids)
-        self.sizes.append(len(ids))
+    def add(self, key: int | None, packed: bytes) -> None:
+        self.out.write(packed)
+        n = len(packed) // self.kind.itemsize
+        self.ids += n
+        self.sizes.append(n)
         if key is not None:
             self.keys.append(key)
 
@@ -299,16 +337,14 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                for k, ids in zip(some.column(0).to_pylist(), coder.ids(some.column(1).to_pylist())):
-                    if out is not None and (out.ids >= file_ids or len(out.sizes) >= file_documents):
-                        yield done()
-                        number, out = number + 1, None
-                    if out is None:
-                        name = f"tokens-{uuid.uuid4().hex}.bin"
-                        out = _Writer(files, f"{path}/{name}", coder.kind)
-                    out.add(k, ids)
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if out is not None and (out.ids >= file_ids or len(out.sizes) >= file_documents):
+                    yield done()
+                    number, out = number + 1, None
+                if out is None:
+                    name = f"tokens-{uuid.uuid4().hex}.bin"
+                    out = _Writer(files, f"{path}/{name}", coder.kind)
+                out.add(k, coder.packed(value.as_py()))
         if out is not None:
             yield done()
 

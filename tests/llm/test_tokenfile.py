@@ -42,9 +42,11 @@ def test_sequence(n, top):
 
 def test_ids_are_the_library_s(monkeypatch):
     monkeypatch.setattr(Coder, "PIECE", 1000)
+    seen = [chr(c) for c in range(0x2FF)]
+    TEXTS.extend(["".join(f"{a}{b}s'T{a} x" for a, b in zip(seen, seen[7:])), "".join(f" A{a}1{a}'re" for a in seen)])
     for by_words in (True, False):
         coder = Coder(PATH, 1, by_words, memo=3)
-        assert [x.tolist() for x in coder.ids(TEXTS)] == [plain(t) for t in TEXTS]
+        assert [np.frombuffer(coder.packed(t), coder.kind).tolist() for t in TEXTS] == [plain(t) for t in TEXTS]
         assert coder.kind == np.dtype("<u2")
 
 
