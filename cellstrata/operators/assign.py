@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from cellstrata.functions.geometry import inside
 from cellstrata.operators.graph import near_pairs
+from cellstrata.operators.regions import squares_of, within
 
 #: Feature types of a count matrix; only the first is expression.
 FEATURE_TYPES = (
@@ -22,30 +22,18 @@ FEATURE_TYPES = (
 )
 
 
-def _squares(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
-
-
 def assign_points(points: DataFrame, objects: DataFrame, size: float, width: float | None = None, height: float | None = None) -> DataFrame:
     """``(point_id, object_id)``: the object ``(object_id, polygon)`` that holds the point; of several the one of largest id, drawn last.
 
-    Objects are put into the grid squares of side ``size`` that their box
-    touches, points into theirs; the two meet by an equi join. Points outside
-    the image, or in no object, have no row.
+    Points meet the grid squares of side ``size`` that the objects have, by an
+    equi join; each is tested against the edges of its square alone. Points
+    outside the image, or in no object, have no row.
     """
-    xs, ys = F.transform("polygon", lambda p: p["x"]), F.transform("polygon", lambda p: p["y"])
-    put = objects.select(
-        "object_id",
-        "polygon",
-        F.explode(_squares(F.array_min(xs), F.array_max(xs), size)).alias("bx"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(ys).alias("y1"),
-    ).withColumn("by", F.explode(_squares(F.col("y0"), F.col("y1"), size)))
     p = points.where("x is not null and y is not null")
     if width is not None:
         p = p.where(F.col("x").between(0, width) & F.col("y").between(0, height))
-    p = p.withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
-    hit = p.join(put.drop("y0", "y1"), ["bx", "by"]).where(inside(F.col("x"), F.col("y"), F.col("polygon")))
+    p = p.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
+    hit = p.join(squares_of(objects, size), ["bx", "by"]).where(within(F.col("x"), F.col("y"), size))
     return hit.groupBy("point_id").agg(F.max("object_id").alias("object_id"))
 
 

@@ -93,17 +93,33 @@ def bspline(df: DataFrame, grid: DataFrame, intervals: int, width: float, height
     return _put(out, F.coalesce("__x", F.lit(0.0)), F.coalesce("__y", F.lit(0.0))).drop("__x", "__y")
 
 
-def register(df: DataFrame, params: Mapping, mode: str = "none", grid: DataFrame | None = None) -> DataFrame:
-    """Flip, rotate, divide by the source scale, warp, multiply by the target scale; missing parameters change nothing."""
+def _whole(df: DataFrame) -> DataFrame:
+    """Coordinates at the nearest whole numbers, halves upward."""
+    return _put(df, F.floor(F.col("x") + 0.5).cast("double"), F.floor(F.col("y") + 0.5).cast("double"))
+
+
+def register(df: DataFrame, params: Mapping, mode: str = "none", grid: DataFrame | None = None, key: str = "cell_id", whole_pixels: bool = False) -> DataFrame:
+    """Flip, rotate, divide by the source scale, warp, multiply by the target scale, shift; missing parameters change nothing.
+
+    Mode "affine" applies the matrix alone. Mode "bspline" applies it, rounds to
+    whole pixels and warps these by ``grid`` over the target image at the
+    target scale, int(target_width / target_scale) + 0.5 wide (the source's
+    width and height where the target's are not given). With ``whole_pixels``
+    the warped point is rounded too, and its scaled place cut to an integer.
+    """
     w, h = params.get("width", 0), params.get("height", 0)
+    target = params.get("target_scale", 1.0)
     out = flip(df, w, h, params.get("flip_horizontal", False), params.get("flip_vertical", False))
     out = rotate(out, params.get("rotation", 0), w, h)
     out = scale(out, manual=params.get("manual_scale", 1.0), source=params.get("source_scale", 1.0))
     if mode == "affine":
         out = affine(out, params["affine"])
     elif mode == "bspline":
-        out = bspline(out, grid, params["intervals"], w, h)
+        domain = [int(params.get(k, own) / target) + 0.5 for k, own in (("target_width", w), ("target_height", h))]
+        out = bspline(_whole(affine(out, params["affine"])), grid, params["intervals"], *domain, key=key)
     elif mode != "none":
         raise ValueError(f"mode: {mode!r} is neither none, affine nor bspline")
-    out = scale(out, target=params.get("target_scale", 1.0))
+    out = scale(_whole(out) if whole_pixels else out, target=target)
+    if whole_pixels:
+        out = _put(out, F.col("x").cast("long").cast("double"), F.col("y").cast("long").cast("double"))
     return shift(out, params.get("shift_x", 0.0), params.get("shift_y", 0.0))

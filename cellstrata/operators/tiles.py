@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellstrata.functions.quantiles import at_ranks
+from cellstrata.operators import regions as regions_on_grid
 from cellstrata.operators.components import connected_components
 from cellstrata.plans.lineage import cut
 
@@ -36,6 +37,22 @@ def tiles_touching(tiles: DataFrame, boxes: DataFrame, square: float) -> DataFra
     return tiles.join(hit.select("tile_id").distinct(), "tile_id", "left_semi")
 
 
+def tiles_in_regions(tiles: DataFrame, regions: DataFrame, size: float) -> DataFrame:
+    """Tiles that have a point in common with a region ``(object_id, polygon)``, borders included.
+
+    Tiles meet the regions' grid squares of side ``size``, best about a tile's:
+    one that no edge touches is all region, in the others an edge touches the
+    tile, or the tile lies within the region and so does its corner.
+    """
+    x0, y0, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    cover = lambda low, high: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    t = tiles.select("tile_id", "x", "y", "w", "h", cover(x0, x1).alias("bx")).withColumn("by", cover(y0, y1))
+    corner = (F.col("bx") == F.floor(x0 / size)) & (F.col("by") == F.floor(y0 / size)) & regions_on_grid.within(x0, y0, size)
+    met = (F.size("edges") == 0) | F.exists("edges", lambda e: regions_on_grid.touches(e, x0, y0, x1, y1)) | corner
+    hit = t.join(regions_on_grid.squares_of(regions, size), ["bx", "by"]).where(met)
+    return tiles.join(hit.select("tile_id").distinct(), "tile_id", "left_semi")
+
+
 def detection_grid(spark, width: int, height: int, det: int, feature: int) -> DataFrame:
     """``(gx, gy, x, y)``: windows of ``feature`` around cells of ``det``; those that reach over the border are left out."""
     nx, ny = max(0, width // det), max(0, height // det)
@@ -171,10 +188,18 @@ def _parts(grid: DataFrame, same: str | None) -> DataFrame:
     return at.join(comp.select(F.col("node").alias("code"), "component"), "code", "left").withColumn("part", F.coalesce("component", "code")).drop("component", "code")
 
 
-def regions_by_label(values: DataFrame, det: float) -> DataFrame:
-    """``(value, part, tiles, area)``: connected tiles of equal value, those without a prediction left out."""
-    parts = _parts(values.where("value >= 2").select("gx", "gy", "value"), "value")
-    return parts.groupBy("value", "part").agg(F.count(F.lit(1)).alias("tiles"), (F.count(F.lit(1)) * float(det * det)).alias("area"))
+def regions_by_label(values: DataFrame, det: float, base: DataFrame | None = None) -> DataFrame:
+    """``(value, part, tiles, area)``: connected tiles of equal value, those without a prediction left out.
+
+    With ``base(object_id, polygon)`` only what the polygons cover together
+    counts: tiles without any area of theirs are left out, before parts are
+    formed, and a tile has the area of what they cover of it.
+    """
+    own = values.where("value >= 2").select("gx", "gy", "value", F.lit(float(det * det)).alias("area"))
+    if base is not None:
+        covered = regions_on_grid.covered_squares(base, det).select(F.col("bx").alias("gx"), F.col("by").alias("gy"), "area")
+        own = own.drop("area").join(covered, ["gx", "gy"])
+    return _parts(own, "value").groupBy("value", "part").agg(F.count(F.lit(1)).alias("tiles"), F.sum("area").alias("area"))
 
 
 def tissue_tiles(pixels: DataFrame, threshold: float, dark_background: bool = False, min_tiles: int = 1, tile: int = 16) -> DataFrame:

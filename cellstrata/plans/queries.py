@@ -130,20 +130,27 @@ def _(t):
     return register.inverse_affine(t("points"), m).select("point_id", *[F.round(c, 6).alias(c) for c in "xy"])
 
 
-@query("r7_bspline", """
-    with p as (select point_id, x * 4 / 399::double + 1 as u, y * 4 / 399::double + 1 as v from {points}),
+_SPLINE = """
     steps as (select unnest([-1, 0, 1, 2]) as d),
     near as (select point_id, u, v, floor(u)::int + a.d as i, floor(v)::int + b.d as j from p, steps a, steps b),
     grid as (select i, j, i * 100.0::double + j as cx, j * 90.0::double - i as cy from range(0, 7) a(i), range(0, 7) b(j)),
     w as (select point_id, abs(u - i) as du, abs(v - j) as dv, cx, cy from near join grid using (i, j)),
     k as (select point_id, cx, cy,
             (case when du < 1 then (4 - 6*du*du + 3*du*du*du)/6 when du < 2 then power(2-du, 3)/6 else 0 end)
-          * (case when dv < 1 then (4 - 6*dv*dv + 3*dv*dv*dv)/6 when dv < 2 then power(2-dv, 3)/6 else 0 end) as w from w)
-    select point_id, round(sum(w*cx), 4) as x, round(sum(w*cy), 4) as y from k group by point_id""")
-def _(t):
+          * (case when dv < 1 then (4 - 6*dv*dv + 3*dv*dv*dv)/6 when dv < 2 then power(2-dv, 3)/6 else 0 end) as w from w),
+    warped as (select point_id, sum(w*cx) as x, sum(w*cy) as y from k group by point_id)"""
+
+
+def _spline_grid(t):
     i = t.spark.range(7).select(F.col("id").cast("int").alias("i"))
-    grid = i.crossJoin(i.withColumnRenamed("i", "j")).selectExpr("i", "j", "i * 100.0D + j as cx", "j * 90.0D - i as cy")
-    return register.bspline(t("points"), grid, 4, 400, 400, key="point_id").select("point_id", *[F.round(c, 4).alias(c) for c in "xy"])
+    return i.crossJoin(i.withColumnRenamed("i", "j")).selectExpr("i", "j", "i * 100.0D + j as cx", "j * 90.0D - i as cy")
+
+
+@query("r7_bspline", f"""
+    with p as (select point_id, x * 4 / 399::double + 1 as u, y * 4 / 399::double + 1 as v from {{points}}), {_SPLINE}
+    select point_id, round(x, 4) as x, round(y, 4) as y from warped""")
+def _(t):
+    return register.bspline(t("points"), _spline_grid(t), 4, 400, 400, key="point_id").select("point_id", *[F.round(c, 4).alias(c) for c in "xy"])
 
 
 @query("r8_shift", "select point_id, x + 1.5::double as x, y - 2 as y from {points}")
@@ -171,6 +178,31 @@ def _(t):
     return register.register(t("points"), PARAMS, "affine").select("point_id", *[F.round(c, 6).alias(c) for c in "xy"])
 
 
+_AFFINE_THEN_SPLINE = f"""
+    a as (select point_id, y / 2 as x, (400 - (400 - x)) / 2 as y from {{points}}),
+    b as (select point_id, floor(0.9::double*x + 0.1::double*y + 5 + 0.5::double) as x, floor(-0.1::double*x + 0.9::double*y + 7 + 0.5::double) as y from a),
+    p as (select point_id, x * 4 / (int_w - 0.5::double) + 1 as u, y * 4 / (int_h - 0.5::double) + 1 as v from b, (select 360 // 4 as int_w, 410 // 4 as int_h)), {_SPLINE}"""
+
+
+def _warped(t, whole_pixels):
+    params = PARAMS | {"intervals": 4, "target_width": 360, "target_height": 410}
+    return register.register(t("points"), params, "bspline", _spline_grid(t), key="point_id", whole_pixels=whole_pixels)
+
+
+@query("r11_register_spline", f"""
+    with {_AFFINE_THEN_SPLINE}
+    select point_id, round(coalesce(w.x, 0) * 4 + 1.5::double, 4) as x, round(coalesce(w.y, 0) * 4, 4) as y from a left join warped w using (point_id)""")
+def _(t):
+    return _warped(t, False).select("point_id", *[F.round(c, 4).alias(c) for c in "xy"])
+
+
+@query("r11_register_whole_pixels", f"""
+    with {_AFFINE_THEN_SPLINE}
+    select point_id, floor(coalesce(round(w.x, 9), 0) + 0.5::double) * 4 + 1.5::double as x, floor(coalesce(round(w.y, 9), 0) + 0.5::double) * 4 as y from a left join warped w using (point_id)""")
+def _(t):
+    return _warped(t, True).select("point_id", "x", "y")
+
+
 # ---- assignment ---------------------------------------------------------
 
 
@@ -776,6 +808,20 @@ def _(t):
     return tiles.tiles_touching(_grid(t), t("boxes"), 64.0).select("tile_id")
 
 
+def _triangles(t):
+    """The lower left half of each box."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return t("boxes").select("object_id", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x0", "y1")).alias("polygon"))
+
+
+@query("m2_tiles_in_regions", f"""
+    with {_TILES} select tile_id from tiles a where exists (
+        select 1 from {{boxes}} where x <= x1 and x0 <= x + 64 and y <= y1 and y0 <= y + 64
+        and (greatest(x, x0) - x0) * (y1 - y0) + (greatest(y, y0) - y0) * (x1 - x0) <= (x1 - x0) * (y1 - y0))""")
+def _(t):
+    return tiles.tiles_in_regions(_grid(t), _triangles(t), 64.0).select("tile_id")
+
+
 @query("m3_detection_grid", """
     with hh as (select max(y)::int as h from {cells})
     select c as gx, r as gy, c * 16 - 8.0::double as x, r * 16 - 8.0::double as y from hh, range(0, 25) a(c), range(0, (h // 16)::bigint) b(r)
@@ -896,6 +942,20 @@ def _(t):
     return tiles.regions_by_label(_labels(t), 16.0)
 
 
+@query("m15_regions_in_base", """
+    with recursive hh as (select max(y)::int + 16 as h from {cells}),
+    p as (select floor(x / 16)::bigint as gx, floor(y / 16)::bigint as gy, max(case when classification = 'Tumor' then 1 when classification is not null then 0 end) as label_idx from {cells} group by all),
+    unit as (select distinct i, j from (select unnest(range(x0::bigint, x1::bigint)) as i, y0, y1 from {boxes}), (select unnest(range(0, h + 64)) as j from hh) where j >= y0 and j < y1),
+    base as (select i // 16 as gx, j // 16 as gy, count(*)::double as area from unit group by all),
+    g as (select gx, gy, label_idx + 2 as value, gy * 2147483648 + gx as code, area from p join base using (gx, gy), hh where label_idx is not null and gx < 26 and gy < h // 16),
+    l as (select a.code as a, b.code as b from g a join g b on a.value = b.value and abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1),
+    flow(code, r) as (select code, code from g union select l.b, r from flow join l on l.a = code),
+    comp as (select code, min(r) as part from flow group by code)
+    select value::int as value, part, count(*) as tiles, round(sum(area), 6) as area from g join comp using (code) group by value, part""")
+def _(t):
+    return tiles.regions_by_label(_labels(t), 16.0, _polygons(t)).withColumns(r6("area"))
+
+
 @query("m16_tissue_tiles", """
     with g as (select floor(px / 16)::bigint as gx, floor(py / 16)::bigint as gy, avg((r + g + b) / 3.0::double) as mean from {pixels} group by 1, 2),
     i as (select *, gx - row_number() over (partition by gy order by gx) as part from g where mean < 128)
