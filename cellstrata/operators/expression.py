@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellstrata.functions.quantiles import quantiles
 from cellstrata.operators.graph import normalise_edges
-from cellstrata.plans.lineage import cut, distinct_names
+from cellstrata.operators.ordered import running_totals
+from cellstrata.plans.lineage import cut, distinct_names, small, written
 
 
 def filter_cells(expr: DataFrame, min_counts: float = 10) -> DataFrame:
@@ -192,23 +193,24 @@ def rank_genes(expr: DataFrame, labels: DataFrame) -> DataFrame:
     correction in z. A gene's zeros are one block of ties below (its positive
     values), added without rows of their own. p is two-sided, adjusted per
     group; lfc is the log2 ratio of the means of expm1, 1e-9 added to each.
+    Ranks are running totals over range partitions of (gene, value), so a gene
+    of any number of values spans tasks.
     """
     lab = labels.select("cell_id", "label")
     n = lab.agg(F.count(F.lit(1)).alias("total"))
-    sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = small(cut(lab.groupBy("label").agg(F.count(F.lit(1)).alias("size"))))
     e = expr.where("n > 0").join(lab, "cell_id")
     # cells of each value and label, then ranks over a gene's distinct values only
-    counts = e.groupBy("gene", "n", "label").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(e.groupBy("gene", "n", "label").agg(F.count(F.lit(1)).alias("c")), "counts")
     ties = counts.groupBy("gene", "n").agg(F.sum("c").alias("ties"))
-    below = F.sum("ties").over(Window.partitionBy("gene").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    rank = F.coalesce(below, F.lit(0)) + (F.col("ties") + 1) / 2.0
+    ties = running_totals(ties, ["gene"], ["n"], "ties", "below").select("gene", "n", (F.col("below") + (F.col("ties") + 1) / 2.0).alias("rank"))
     by = (
-        counts.join(ties.withColumn("rank", rank).drop("ties"), ["gene", "n"])
+        counts.join(ties, ["gene", "n"])
         .groupBy("gene", "label")
         .agg(F.sum(F.col("rank") * F.col("c")).alias("ranks"), F.sum("c").alias("k"), F.sum(F.expm1("n") * F.col("c")).alias("s"))
     )
     gene = by.groupBy("gene").agg(F.sum("k").alias("gk"), F.sum("s").alias("gs"))
-    grid = gene.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(n)).join(by, ["gene", "label"], "left")
+    grid = gene.crossJoin(sizes).crossJoin(F.broadcast(n)).join(by, ["gene", "label"], "left")
     zero = F.col("total") - F.col("gk")
     k = F.coalesce("k", F.lit(0))
     ranks = F.coalesce("ranks", F.lit(0.0)) + k * zero + (F.col("size") - k) * (zero + 1) / 2.0

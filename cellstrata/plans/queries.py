@@ -611,28 +611,40 @@ def _(t):
     return expression.communities(t("edges"), 6)
 
 
-_WILCOXON = """
-    lab as (select cell_id, cast(case when classification = 'Tumor' then 1 else 0 end as varchar) as label from {cells} where classification is not null),
+_BY_CLASS = "lab as (select cell_id, cast(case when classification = 'Tumor' then 1 else 0 end as varchar) as label from {cells} where classification is not null)"
+_BY_TOTAL = "lab as (select cell_id, cast(case when value > (select avg(value) from {measurements}) then 1 else 0 end as varchar) as label from {measurements})"
+_RANKS = """
     grid as (select cell_id, label, gene, coalesce(ln(1 + n), 0) as v, coalesce(n, 0) as raw from lab cross join (select distinct gene from {expr} where cell_id in (select cell_id from lab)) left join {expr} using (cell_id, gene)),
     rk as (select *, rank() over (partition by gene order by v) + (count(*) over (partition by gene, v) - 1) / 2.0::double as r from grid),
     s as (select gene, label, sum(r) as ranks, count(*)::double as size, avg(raw) as m from rk group by gene, label),
     w as (select s.gene, s.label, (s.ranks - s.size * (s.size + o.size + 1) / 2) / sqrt(s.size * o.size * (s.size + o.size + 1) / 12) as z, log2((s.m + 1e-9) / (o.m + 1e-9)) as lfc
           from s join s o on s.gene = o.gene and s.label <> o.label)"""
+_WILCOXON = f"{_BY_CLASS}, {_RANKS}"
 
 
 def _ranked(t):
     return expression.rank_genes(expression.log_counts(t("expr")), select.split_target_opponent(t("cells"), ["Tumor"]).withColumn("label", F.col("label").cast("string")))
 
 
-@query("e12_rank_genes", f"with {_WILCOXON} select label, gene, round(z, 5) as z, round(lfc, 5) as lfc from w")
+# two tails of the normal distribution by the series of erf whose terms are all positive
+_P = """
+    tailed as (select *, greatest(0, 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_reduce(list_concat([struct_pack(t := abs(z) / sqrt(2::double), s := abs(z) / sqrt(2::double))], [struct_pack(t := k::double, s := 0::double) for k in range(1, 200)]),
+               lambda a, b: struct_pack(t := a.t * z * z / (2 * b.t + 1), s := a.s + a.t * z * z / (2 * b.t + 1))).s) as p from w),
+    ranked as (select *, p * count(*) over (partition by label) / row_number() over (partition by label order by p, gene) as raw from tailed),
+    tested as (select label, gene, z, lfc, p, least(1, min(raw) over (partition by label order by p desc, gene desc rows between unbounded preceding and current row)) as padj from ranked)"""
+
+
+@query("e12_rank_genes", f"with {_WILCOXON}, {_P} select label, gene, round(z, 5) as z, round(lfc, 5) as lfc, round(p, 6) as pvalue, round(padj, 5) as padj from tested")
 def _(t):
-    return _ranked(t).select("label", "gene", F.round("z", 5).alias("z"), F.round("lfc", 5).alias("lfc"))
+    return _ranked(t).select("label", "gene", *[F.round(c, d).alias(c) for c, d in (("z", 5), ("lfc", 5), ("pvalue", 6), ("padj", 5))])
 
 
 @query("e13_cluster_markers", f"""
-    with {_WILCOXON} select label, gene, round(z, 5) as z from w where lfc > 0 and z > 0 qualify row_number() over (partition by label order by w.z desc, gene) <= 5""")
+    with {_BY_TOTAL}, {_RANKS}, {_P} select label, gene, round(z, 5) as z from tested where lfc > 0.25 and padj < 0.05 qualify row_number() over (partition by label order by tested.z desc, gene) <= 5""")
 def _(t):
-    return expression.cluster_markers(_ranked(t).where("z > 0"), 5, padj=1.1, lfc=0.0).select("label", "gene", F.round("z", 5).alias("z"))
+    m = t("measurements")
+    labels = m.crossJoin(m.agg(F.avg("value").alias("mean"))).select("cell_id", (F.col("value") > F.col("mean")).cast("int").cast("string").alias("label"))
+    return expression.cluster_markers(expression.rank_genes(expression.log_counts(t("expr")), labels), 5, lfc=0.25).select("label", "gene", F.round("z", 5).alias("z"))
 
 
 @query("e14_comparative_markers", f"with {_WILCOXON} select gene, round(z, 5) as z from w where label = '1' order by w.z desc, gene limit 5")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellstrata.functions.quantiles import quantiles
-from cellstrata.operators import assign, datasets, expression, graph, register, select, spatial, tiles
+from cellstrata.operators import assign, datasets, expression, graph, ordered, register, select, spatial, tiles
 from cellstrata.operators.components import connected_components
 from cellstrata.sources import writers
 
@@ -224,3 +224,21 @@ def test_split_keeps_keys_on_one_side_and_sample_has_its_size(spark):
 def test_balance_draws_n_of_each_class(spark):
     rows = spark.createDataFrame([(str(i), "a" if i % 3 else "b") for i in range(30)], "key string, classification string")
     assert dict(datasets.class_counts(datasets.balance_classes(rows, 12)).collect()) == {"a": 12, "b": 12}
+
+
+def test_ranks_of_one_gene_span_tasks(spark):
+    """Totals before each row of a key that holds all rows; partitions stay even."""
+    df = spark.range(20_000).select(F.lit("g").alias("gene"), (F.xxhash64("id") % 100_003).cast("double").alias("v"), (F.col("id") % 3 + 1).alias("c"))
+    df = df.groupBy("gene", "v").agg(F.sum("c").alias("c")).union(spark.createDataFrame([("h", 1.0, 5), ("h", 2.0, 7)], "gene string, v double, c long"))
+    out = ordered.running_totals(df, ["gene"], ["v"], "c", "below")
+    total = {"g": 0, "h": 0}
+    for r in out.orderBy("gene", "v").collect():
+        assert r.below == total[r.gene]
+        total[r.gene] += r.c
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[0] for r in df.repartitionByRange("gene", "v").groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ordered.running_totals(df.limit(0), ["gene"], ["v"], "c", "below").count() == 0
