@@ -103,7 +103,7 @@ def stain_matrix(pixels: DataFrame, min_magnitude: float = 16.0, low: float = 0.
     angle = (1 - F.col("q") / F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q"))) * F.signum("p")
     angles = cut(flat.select(angle.alias("angle")))
     n = angles.count()
-    ends = at_ranks(angles, "angle", [min(int(share * n + 0.5), n - 1) for share in (low, high)]) if n else [1.0, 1.0]
+    ends = at_ranks(angles, "angle", [min(int(share * n + 0.5), n - 1) for share in (low, high)], n) if n else [1.0, 1.0]
     stains = []
     for a in ends:
         across = 1 - abs(a)
