@@ -10,7 +10,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellstrata.functions.quantiles import quantiles
-from cellstrata.operators.graph import normalise_edges
 from cellstrata.operators.ordered import running_totals
 from cellstrata.plans.lineage import cut, distinct_names, small, written
 
@@ -142,39 +141,6 @@ def neighbours(vectors: DataFrame, k: int = 15, block: int = 2048, key: str = "i
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(node, community)`` by local moving: in each round half of the nodes, by hash, go to the neighbouring community of largest modularity gain.
-
-    One level of local moving, without the coarsening and refinement of the
-    Leiden method: on graphs of large diameter communities stay small.
-    """
-    e = cut(normalise_edges(edges))
-    degree = cut(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")))
-    twice = degree.agg(F.sum("d")).first()[0] or 1
-    state = cut(degree.select("node", F.col("node").alias("community")))
-    for r in range(rounds):
-        volume = state.join(degree, "node").groupBy("community").agg(F.sum("d").alias("volume"))
-        links = e.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.count(F.lit(1)).alias("k"))
-        own = state.select("node", F.col("community").alias("now"))
-        options = links.join(own, "node").join(degree, "node").join(volume, "community")
-        rest = F.col("volume") - F.when(F.col("community") == F.col("now"), F.col("d")).otherwise(0)
-        scored = options.withColumn("gain", F.col("k") - F.col("d") * rest / float(twice))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        best = scored.where(moves).groupBy("node").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("now")).alias("stay"), -F.col("community"))).alias("to"))
-        state = cut(state.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
-    return state
-
-
-def modularity(edges: DataFrame, state: DataFrame) -> float:
-    e = normalise_edges(edges)
-    c = lambda side: state.select(F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
-    both = e.join(c("src"), "src").join(c("dst"), "dst")
-    total = both.count()
-    inside = both.where("c_src = c_dst").count()
-    volumes = both.groupBy("c_src").agg(F.count(F.lit(1)).alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0
-    return inside / total - volumes / total**2 if total else 0.0
-
-
 def two_sided(z: Column) -> Column:
     """Both tails of the normal distribution beyond ``z``: the series of erf below 3, the continued fraction of erfc above."""
     x = F.abs(z) / math.sqrt(2.0)

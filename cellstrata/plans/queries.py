@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellstrata.functions import compare, geometry
-from cellstrata.operators import assign, datasets, enrich, expression, graph, register, select, spatial, tiles
+from cellstrata.operators import assign, communities, datasets, enrich, expression, graph, register, select, spatial, tiles
 from cellstrata.plans.fixtures import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -608,7 +608,7 @@ def _(t):
 
 @query("e11_communities")
 def _(t):
-    return expression.communities(t("edges"), 6)
+    return communities.communities(t("edges"))
 
 
 _BY_CLASS = "lab as (select cell_id, cast(case when classification = 'Tumor' then 1 else 0 end as varchar) as label from {cells} where classification is not null)"

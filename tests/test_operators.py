@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellstrata.functions.quantiles import quantiles
-from cellstrata.operators import assign, datasets, expression, graph, ordered, register, select, spatial, tiles
+from cellstrata.functions import quantiles as quantile_module
+from cellstrata.functions.quantiles import at_ranks, quantiles
+from cellstrata.operators import assign, communities, datasets, expression, graph, ordered, register, select, spatial, tiles
 from cellstrata.operators.components import connected_components
 from cellstrata.sources import writers
 
@@ -131,11 +132,26 @@ def test_bh_is_monotone_and_not_below_p(spark):
     assert all(q >= p for p, q in out) and all(a[1] <= b[1] for a, b in zip(out, out[1:])) and math.isclose(out[-1][1], 0.8)
 
 
-def test_communities_of_two_cliques(spark):
-    edges = [(a, b) for base in (0, 10) for a in range(base, base + 6) for b in range(a + 1, base + 6)] + [(5, 10)]
-    e = spark.createDataFrame(edges, "src long, dst long")
-    state = expression.communities(e, 8)
-    assert expression.modularity(e, state) > 0.4
+def test_known_communities(spark):
+    """Two cliques, a ring of cliques, a planted partition: each group is a community."""
+    r = random.Random(1)
+    pairs = lambda group: [(a, b) for a in group for b in group if a < b]
+    ring = [list(range(6 * c, 6 * c + 6)) for c in range(8)]
+    planted = [list(range(24 * c, 24 * c + 24)) for c in range(4)]
+    graphs = [
+        (ring, [e for g in ring for e in pairs(g)] + [(g[5], ring[(k + 1) % 8][0]) for k, g in enumerate(ring)]),
+        (planted, [e for e in pairs(range(96)) if r.random() < (0.6 if e[0] // 24 == e[1] // 24 else 0.03)]),
+    ]
+    for groups, edges in graphs:
+        e = spark.createDataFrame([*edges, (edges[0][1], edges[0][0]), (0, 0)], "src long, dst long")
+        state = communities.communities(e).cache()
+        if groups is ring:  # by joins alone
+            assert sorted(communities.communities(e, one_task=0).collect()) == sorted(state.collect())
+        assert {(x.node, x.community) for x in state.collect()} == {(v, min(g)) for g in groups for v in g}
+        inside = sum(any({a, b} <= set(g) for g in groups) for a, b in edges)
+        want = inside / len(edges) - sum((sum((a in g) + (b in g) for a, b in edges) / 2 / len(edges)) ** 2 for g in groups)
+        assert abs(communities.modularity(e, state) - want) < 1e-9
+    assert communities.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_softmax_and_shift(spark):
@@ -179,6 +195,28 @@ def test_quantiles_are_those_of_the_sorted_values(spark):
     assert quantiles(df.where("v is null"), "v", [0.5]) == [None]
 
 
+def test_quantiles_of_odd_values(spark, monkeypatch):
+    """Infinities are values, NaN are not; few values come to the driver; narrow brackets by several passes."""
+    df = spark.range(20_000).select((F.xxhash64("id") % 1_000_000).cast("double").alias("v"))
+    odd = df.union(spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double"))
+    values = np.sort(np.array([r.v for r in df.collect()] + [np.inf, -np.inf]))
+    collected = []
+    frame = type(df)
+    monkeypatch.setattr(frame, "collect", lambda self, own=frame.collect: (lambda rows: (collected.append(len(rows)), rows)[1])(own(self)))
+    shares = [0, 0.1, 0.5, 0.77, 1]
+    want = [values[0], values[-1]]
+    got = quantiles(odd, "v", shares)
+    assert [got[0], got[-1]] == want and np.allclose(got[1:-1], [np.interp(s * (len(values) - 1), np.arange(1, len(values) - 1), values[1:-1]) for s in shares[1:-1]], rtol=1e-12)
+    ranks = [0, 1, 7, 9_999, 10_000, 20_001]
+    assert at_ranks(odd, "v", ranks) == [values[r] for r in ranks]
+    assert max(collected) < 5000
+    monkeypatch.setattr(quantile_module, "_FEW", 20)
+    monkeypatch.setattr(quantile_module, "_ACCURACY", 100)
+    assert at_ranks(odd, "v", ranks) == [values[r] for r in ranks]
+    same = spark.range(30_000).select((F.col("id") % 3).cast("double").alias("v"))
+    assert quantiles(same, "v", [0.2, 0.5, 0.9]) == [0.0, 1.0, 2.0]
+
+
 def test_normal_tails(spark):
     zs = [0.0, 0.3, -1.5, 2.9, 3.0, 3.1, -5.0, 8.0, 20.0]
     df = spark.createDataFrame([(z,) for z in zs], "z double")
