@@ -5,14 +5,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellstrata.operators import expression as ex
 from cellstrata.operators.select import split_target_opponent
-from cellstrata.plans.lineage import cut, distinct_names
+from cellstrata.plans.lineage import cut, small
 
 
 def map_symbols(genes: DataFrame, gene_map: DataFrame) -> DataFrame:
@@ -38,28 +37,29 @@ def log_factorials(spark, n: int) -> DataFrame:
     return steps.withColumn("run", run).join(F.broadcast(before), "b").select("k", (F.col("run") + F.col("before")).alias("lf"))
 
 
-def go_enrichment(study: DataFrame, population: DataFrame, assoc: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def go_enrichment(study: DataFrame, population: DataFrame, assoc: DataFrame, terms: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """A row per namespace and term that the study ``(gene_id)`` has: Fisher's exact test against the population ``(gene_id)``.
 
     Columns ``ns, go_id, n_genes, n_study, n_go, n_pop, p, q, direction,
     study_genes, per`` (and ``name`` from ``terms``). Two-sided: the sum of
-    all outcomes not more likely than what was seen (within 1e-7).
+    all outcomes not more likely than what was seen (within 1e-7). With ``by``
+    the study has these columns too and each of their values is a study of its
+    own; q is adjusted within each. Equal margins are computed once.
     """
-    s = study.select("gene_id").distinct()
+    by = list(by)
+    s = study.select(*by, "gene_id").distinct()
     pop = population.select("gene_id").distinct()
     a = assoc.select("gene_id", "go_id", "ns").distinct().join(pop, "gene_id", "left_semi")
-    marked = a.join(s.withColumn("in_study", F.lit(1)), "gene_id", "left")
-    counts = marked.groupBy("ns", "go_id").agg(
-        F.count("in_study").alias("n_genes"),
-        F.count(F.lit(1)).alias("n_go"),
-        F.array_sort(F.collect_set(F.when(F.col("in_study") == 1, F.col("gene_id")))).alias("study_genes"),
-    )
-    n = s.join(pop, "gene_id", "left_semi").agg(F.count(F.lit(1)).alias("n_study")).crossJoin(pop.agg(F.count(F.lit(1)).alias("n_pop")))
-    t = cut(counts.where("n_genes > 0").crossJoin(F.broadcast(n)))
+    counts = a.join(s, "gene_id").groupBy(*by, "ns", "go_id").agg(F.count(F.lit(1)).alias("n_genes"), F.array_sort(F.collect_set("gene_id")).alias("study_genes"))
+    counts = counts.join(a.groupBy("ns", "go_id").agg(F.count(F.lit(1)).alias("n_go")), ["ns", "go_id"])
+    n_study = s.join(pop, "gene_id", "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("n_study"))
+    counts = counts.join(small(cut(n_study)), by) if by else counts.crossJoin(F.broadcast(n_study))
+    t = cut(counts.crossJoin(F.broadcast(pop.agg(F.count(F.lit(1)).alias("n_pop")))))
+    margins = ["n_genes", "n_go", "n_study", "n_pop"]
     size = t.agg(F.max("n_pop")).first()[0] or 0
     lf = cut(log_factorials(t.sparkSession, size))
     k = F.sequence(F.greatest(F.lit(0), F.expr("n_go + n_study - n_pop")), F.least("n_go", "n_study"))
-    cells = t.select("ns", "go_id", "n_genes", "n_go", "n_study", "n_pop", F.explode(k).alias("k"))
+    cells = t.select(*margins).distinct().select(*margins, F.explode(k).alias("k"))
     # ln pmf(k) = ln C(n_go, k) + ln C(n_pop - n_go, n_study - k) - ln C(n_pop, n_study)
     parts = {
         "a": "n_go", "b": "k", "c": "n_go - k", "d": "n_pop - n_go", "e": "n_study - k",
@@ -69,16 +69,11 @@ def go_enrichment(study: DataFrame, population: DataFrame, assoc: DataFrame, ter
         table = F.broadcast(lf) if size <= 1_000_000 else lf
         cells = cells.withColumn("at", F.expr(at).cast("long")).join(table.select(F.col("k").alias("at"), F.col("lf").alias(name)), "at").drop("at")
     cells = cells.withColumn("ln", F.expr("(a - b - c) + (d - e - f) - (g - h - i)"))
-    seen = F.max(F.when(F.col("k") == F.col("n_genes"), F.col("ln"))).over(Window.partitionBy("ns", "go_id"))
-    p = (
-        cells.withColumn("seen", seen)
-        .where("ln <= seen + 1e-7")
-        .groupBy("ns", "go_id")
-        .agg(F.least(F.lit(1.0), F.sum(F.exp("ln"))).alias("p"))
-    )
+    seen = F.max(F.when(F.col("k") == F.col("n_genes"), F.col("ln"))).over(Window.partitionBy(*margins))
+    p = cells.withColumn("seen", seen).where("ln <= seen + 1e-7").groupBy(*margins).agg(F.least(F.lit(1.0), F.sum(F.exp("ln"))).alias("p"))
     direction = F.when(F.expr("n_genes * n_pop >= n_study * n_go"), "enriched").otherwise("depleted")
-    out = t.join(p, ["ns", "go_id"]).withColumn("direction", direction).withColumn("per", F.col("n_genes") / F.col("n_go"))
-    out = ex.bh_adjust(out, "p", "q", ["ns"], "go_id")
+    out = t.join(p, margins).withColumn("direction", direction).withColumn("per", F.col("n_genes") / F.col("n_go"))
+    out = ex.bh_adjust(out, "p", "q", [*by, "ns"], "go_id")
     return out if terms is None else out.join(terms.select("go_id", "ns", "name").dropDuplicates(["go_id", "ns"]), ["go_id", "ns"], "left")
 
 
@@ -131,10 +126,10 @@ def _prepared(expr: DataFrame) -> DataFrame:
     return cut(ex.log_counts(ex.normalise_total(ex.trim_by_genes(e))))
 
 
-def _terms_of(genes: DataFrame, population: DataFrame, gene_map: DataFrame, assoc: DataFrame) -> DataFrame:
-    symbols = genes.select(F.col("gene").alias("symbol")).distinct()
+def _terms_of(genes: DataFrame, population: DataFrame, gene_map: DataFrame, assoc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    symbols = genes.select(*by, F.col("gene").alias("symbol")).distinct()
     measured = population.select(F.col("gene").alias("symbol")).distinct()
-    return significant_terms(go_enrichment(map_symbols(symbols, gene_map), map_symbols(measured, gene_map), assoc))
+    return significant_terms(go_enrichment(map_symbols(symbols, gene_map), map_symbols(measured, gene_map), assoc, by=by))
 
 
 def forward_high(expr: DataFrame, gene_map: DataFrame, assoc: DataFrame, genes: int = 100, terms: int = 10) -> DataFrame:
@@ -151,17 +146,15 @@ def forward_comparative(cells: DataFrame, expr: DataFrame, targets: Sequence[str
     return top_terms(_terms_of(ex.comparative_markers(ranked, "1", genes), e, gene_map, assoc), terms)
 
 
-def forward_differential(expr: DataFrame, labels: DataFrame, gene_map: DataFrame, assoc: DataFrame, genes: int = 100, terms: int = 10) -> DataFrame:
-    """For every cluster of ``labels(cell_id, label)`` the terms of its markers: ``cluster`` and the columns of ``go_enrichment``."""
+def forward_differential(expr: DataFrame, labels: DataFrame, gene_map: DataFrame, assoc: DataFrame, genes: int = 100, terms: int = 10, padj: float = 0.05, lfc: float = 1.5) -> DataFrame:
+    """For every cluster of ``labels(cell_id, label)`` the terms of its markers: ``cluster`` and the columns of ``go_enrichment``.
+
+    One plan tests all clusters.
+    """
     e = _prepared(expr)
     ranked = ex.rank_genes(e, labels.join(e.select("cell_id").distinct(), "cell_id", "left_semi"))
-    markers = cut(ex.cluster_markers(ranked, genes))
-    parts = [
-        _terms_of(markers.where(F.col("label") == name), e, gene_map, assoc).withColumn("cluster", F.lit(name))
-        for name in distinct_names(labels, "label")
-    ]
-    out = functools.reduce(DataFrame.unionByName, parts, _terms_of(markers.limit(0), e, gene_map, assoc).withColumn("cluster", F.lit(None).cast("string")))
-    return curate_terms(top_terms(out, terms, ["cluster"]))
+    markers = ex.cluster_markers(ranked, genes, padj, lfc).select(F.col("label").alias("cluster"), "gene")
+    return curate_terms(top_terms(_terms_of(markers, e, gene_map, assoc, ["cluster"]), terms, ["cluster"]))
 
 
 def reverse_score(expr: DataFrame, terms: DataFrame, assoc: DataFrame, gene_map: DataFrame, top: int = 100) -> DataFrame:

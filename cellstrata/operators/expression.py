@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellstrata.functions.quantiles import quantiles
 from cellstrata.operators.ordered import running_totals
-from cellstrata.plans.lineage import cut, distinct_names, small, written
+from cellstrata.plans.lineage import cut, small, written
+
+#: Genes whose weights may come to the driver.
+MAX_GENES = 100_000
 
 
 def filter_cells(expr: DataFrame, min_counts: float = 10) -> DataFrame:
@@ -89,20 +90,57 @@ def top_genes_by_mean(expr: DataFrame, n: int = 100) -> DataFrame:
     return expr.groupBy("gene").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gene").limit(n)
 
 
-def pca(expr: DataFrame, k: int, genes: DataFrame | None = None) -> DataFrame:
-    """``(cell_id, pc array<double>)``: centred principal components over the genes of a bounded panel (``MAX_COLUMNS``, else an error)."""
+def pca(expr: DataFrame, k: int, genes: DataFrame | None = None, more: int = 20, tolerance: float = 1e-8, rounds: int = 60) -> DataFrame:
+    """``(cell_id, pc array<double>)``: centred principal components over all genes, or those of ``genes(gene)``, of every cell.
+
+    Subspace iteration on the sparse rows, with ``more`` directions than asked
+    for: a round joins the genes' weights to the counts and sums by cell, then
+    joins these sums and adds up by gene. Centring is a constant taken from
+    each cell's sum, so zeros are never made. Only the weights, genes times
+    directions, come to the driver (``MAX_GENES``, else an error); it ends when
+    the first ``k`` directions are kept but for ``tolerance`` of their length.
+    Each direction has its largest weight positive.
+    """
+    import numpy as np
+
+    spark = expr.sparkSession
     e = expr if genes is None else expr.join(genes.select("gene"), "gene", "left_semi")
-    names = distinct_names(e, "gene")
-    size = len(names)
-    wide = e.groupBy("cell_id").pivot("gene", names).agg(F.sum("n"))
-    wide = expr.select("cell_id").distinct().join(wide, "cell_id", "left")
-    values = F.array(*[F.coalesce(F.col(f"`{g}`"), F.lit(0)).cast("double") for g in names])
-    table = wide.select("cell_id", array_to_vector(values).alias("features"))
-    model = PCA(k=min(k, size), inputCol="features", outputCol="pc").fit(table)
-    out = model.transform(table).select("cell_id", vector_to_array("pc").alias("pc"))
-    mean = out.agg(*[F.avg(F.col("pc")[j]).alias(f"m{j}") for j in range(min(k, size))])
-    centred = F.array(*[F.col("pc")[j] - F.col(f"m{j}") for j in range(min(k, size))])
-    return out.crossJoin(F.broadcast(mean)).select("cell_id", centred.alias("pc"))
+    e = written(e.groupBy("cell_id", "gene").agg(F.sum("n").cast("double").alias("n")).where("n <> 0 and gene is not null"), "counts")
+    cells = cut(expr.select("cell_id").distinct())
+    sums = e.groupBy("gene").agg(F.sum("n").alias("s")).limit(MAX_GENES + 1).collect()
+    if len(sums) > MAX_GENES:
+        raise ValueError(f"more than {MAX_GENES} genes; choose a panel")
+    sums = sorted(sums, key=lambda r: r["gene"])
+    names, place = [r["gene"] for r in sums], {r["gene"]: i for i, r in enumerate(sums)}
+    mean = np.array([r["s"] for r in sums]) / max(1, cells.count())
+    size = len(names) if len(names) <= 2 * (k + more) else k + more  # all directions where they are few: one round
+    if not size:
+        return cells.select("cell_id", F.array().cast("array<double>").alias("pc"))
+
+    def of_cells(weights: np.ndarray) -> DataFrame:
+        width = weights.shape[1]
+        table = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(names, weights)], ["gene", *(f"w{j}" for j in range(width))])
+        y = e.join(F.broadcast(table), "gene").groupBy("cell_id").agg(*[F.sum(F.col("n") * F.col(f"w{j}")).alias(f"y{j}") for j in range(width)])
+        return cells.join(y, "cell_id", "left").select("cell_id", *[(F.coalesce(f"y{j}", F.lit(0.0)) - float(s)).alias(f"y{j}") for j, s in enumerate(mean @ weights)])
+
+    def of_genes(y: DataFrame) -> np.ndarray:  # the sums over all cells are 0, so the mean of a gene takes nothing from it
+        out = np.zeros((len(names), size))
+        for r in e.join(y, "cell_id").groupBy("gene").agg(*[F.sum(F.col("n") * F.col(f"y{j}")) for j in range(size)]).collect():
+            out[place[r[0]]] = r[1:]
+        return out
+
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(names), size)))[0]
+    for _ in range(rounds):
+        image = of_genes(of_cells(basis))
+        value, vector = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
+        first = basis @ vector
+        off = np.linalg.norm(image @ vector - first * value, axis=0)
+        if size == len(names) or off.max() <= tolerance * max(value[0], 1e-300):
+            break
+        basis = np.linalg.qr(image)[0]
+    first = first * np.where(np.take_along_axis(first, np.abs(first).argmax(0)[None], 0) < 0, -1, 1)
+    return of_cells(first).select("cell_id", F.array(*[F.col(f"y{j}") for j in range(first.shape[1])]).alias("pc"))
 
 
 def neighbours(vectors: DataFrame, k: int = 15, block: int = 2048, key: str = "id", column: str = "v") -> DataFrame:

@@ -50,6 +50,18 @@ VIEWS = {
         select l_suppkey as tile_id, l_orderkey as px, l_linenumber as py,
                cast((l_partkey*7) % 256 as int) as r, cast((l_partkey*13 + l_linenumber) % 256 as int) as g, cast((l_orderkey*3) % 256 as int) as b
         from {lineitem}""",
+    # four kinds of cells, of which each counts genes of its own half of the time; genes 0 to 19 are common
+    "flow_expr": """
+        select cast(o_custkey as bigint) as cell_id, concat('P', cast(g as varchar(20))) as gene, cast(sum(l_quantity) as double) as n
+        from (select o_custkey, l_quantity, case when l_linenumber = 1 then l_partkey % 20
+                     when l_linenumber % 2 = 0 then 50 * (o_custkey % 4) + l_partkey % 50 else l_partkey % 200 end as g
+              from {lineitem} join {orders} on l_orderkey = o_orderkey)
+        group by o_custkey, g""",
+    "flow_cells": "select cell_id, concat('k', cast(cell_id % 4 as varchar(20))) as classification from {cells}",
+    "flow_map": "select distinct concat('P', cast(p_partkey % 200 as varchar(20))) as symbol, cast(p_partkey % 200 as bigint) as gene_id from {part}",
+    "flow_assoc": """
+        select distinct gene_id, concat('T', cast(cast(floor(gene_id / 10) as int) as varchar(20))) as go_id, 'BP' as ns from {flow_map}
+        union all select distinct gene_id, concat('U', cast(gene_id % 7 as varchar(20))), 'MF' from {flow_map}""",
     "predictions": """
         select cell_id, classification as truth, case when cell_id % 7 = 0 then 'Tumor' else classification end as predicted
         from {cells} where classification is not null""",

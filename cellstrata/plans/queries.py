@@ -770,20 +770,71 @@ def _brand_map(t):
     return brands, assoc
 
 
-@query("x12_forward_high")
+_PREPARED = """
+    c1 as (select cell_id from {flow_expr} group by cell_id having sum(n) >= 10),
+    g1 as (select gene from {flow_expr} where cell_id in (select cell_id from c1) and n > 0 group by gene having count(*) >= 5),
+    f1 as (select * from {flow_expr} where cell_id in (select cell_id from c1) and gene in (select gene from g1)),
+    seen as (select cell_id, count(*) as g from f1 where n > 0 group by cell_id),
+    f2 as (select * from f1 where cell_id in (select cell_id from seen where g > (select quantile_cont(g, 0.02) from seen) and g < (select quantile_cont(g, 0.98) from seen))),
+    tot as (select cell_id, sum(n) as total from f2 group by cell_id),
+    e as (select cell_id, gene, ln(1 + n * (select quantile_cont(total, 0.5) from tot) / total) as v from f2 join tot using (cell_id))"""
+_RANKED = f"""
+    lab as (select cell_id, {{label}} as label from {{{{flow_cells}}}} where cell_id in (select cell_id from e)),
+    grid as (select cell_id, label, gene, coalesce(v, 0) as v from lab cross join (select distinct gene from e) left join e using (cell_id, gene)),
+    rk as (select *, rank() over (partition by gene order by v) + (count(*) over (partition by gene, v) - 1) / 2.0::double as r from grid),
+    s as (select gene, label, sum(r) as ranks, count(*)::double as size, sum(exp(v) - 1) as m from rk group by gene, label),
+    o as (select *, sum(size) over (partition by gene) as total, sum(m) over (partition by gene) as all_m from s),
+    w as (select gene, label, (ranks - size * (total + 1) / 2) / sqrt(size * (total - size) * (total + 1) / 12) as z, log2((m / size + 1e-9) / ((all_m - m) / (total - size) + 1e-9)) as lfc from o), {_P}"""
+# ``study(cluster, gene)``: each cluster against all genes of e
+_TERMS = """
+    pop as (select distinct gene_id from {flow_map} where symbol in (select gene from e)),
+    st as (select distinct cluster, gene_id from study join {flow_map} on symbol = gene where gene_id in (select gene_id from pop)),
+    a as (select distinct gene_id, go_id, ns from {flow_assoc} where gene_id in (select gene_id from pop)),
+    c as (select cluster, ns, go_id, count(*) as n_genes from a join st using (gene_id) group by all),
+    tt as (select *, (select count(*) from a where a.ns = c.ns and a.go_id = c.go_id) as n_go, (select count(*) from st where st.cluster = c.cluster) as n_study, (select count(*) from pop) as n_pop from c),
+    k as (select *, unnest(range(greatest(0, n_go + n_study - n_pop), least(n_go, n_study) + 1)) as k from tt),
+    l as (select *, lgamma(n_go+1) - lgamma(k+1) - lgamma(n_go-k+1) + lgamma(n_pop-n_go+1) - lgamma(n_study-k+1) - lgamma(n_pop-n_go-n_study+k+1)
+          - lgamma(n_pop+1) + lgamma(n_study+1) + lgamma(n_pop-n_study+1) as ln from k),
+    sn as (select *, max(ln) filter (k = n_genes) over (partition by cluster, ns, go_id) as seen from l),
+    p as (select cluster, ns, go_id, any_value(n_genes) as n_genes, least(1, sum(exp(ln))) as p from sn where ln <= seen + 1e-7 group by cluster, ns, go_id),
+    raw as (select *, p * count(*) over (partition by cluster, ns) / row_number() over (partition by cluster, ns order by p, go_id) as raw from p),
+    fisher as (select *, least(1, min(raw) over (partition by cluster, ns order by p desc, go_id desc rows between unbounded preceding and current row)) as q from raw),
+    top as (select * from fisher where q < 0.05 and n_genes > 1 qualify row_number() over (partition by cluster order by round(p, 12), go_id) <= 10)"""
+
+
+def _flow(t):
+    return t("flow_expr"), t("flow_map"), t("flow_assoc")
+
+
+def _shown(df):
+    return df.select("ns", "go_id", "n_genes", *[F.round(c, 6).alias(c) for c in ("p", "q")])
+
+
+@query("x12_forward_high", f"""
+    with {_PREPARED}, study as (select 'all' as cluster, gene from e group by gene order by sum(v) desc, gene limit 20), {_TERMS}
+    select ns, go_id, n_genes, round(p, 6) as p, round(q, 6) as q from top""")
 def _(t):
-    return enrich.forward_high(t("expr"), *_brand_map(t), genes=10)
+    return _shown(enrich.forward_high(*_flow(t), genes=20))
 
 
-@query("x12_forward_comparative")
+@query("x12_forward_comparative", f"""
+    with {_PREPARED}, {_RANKED.format(label="case when classification = 'k0' then '1' else '0' end")},
+    study as (select 'all' as cluster, gene from tested where label = '1' order by tested.z desc, gene limit 30), {_TERMS}
+    select ns, go_id, n_genes, round(p, 6) as p, round(q, 6) as q from top""")
 def _(t):
-    return enrich.forward_comparative(t("cells"), t("expr"), ["Tumor"], *_brand_map(t), genes=10)
+    expr, genes, assoc = _flow(t)
+    return _shown(enrich.forward_comparative(t("flow_cells"), expr, ["k0"], genes, assoc, genes=30))
 
 
-@query("x12_forward_differential")
+@query("x12_forward_differential", f"""
+    with {_PREPARED}, {_RANKED.format(label="classification")},
+    study as (select label as cluster, gene from tested where padj < 0.05 and lfc > 0.5 qualify row_number() over (partition by label order by tested.z desc, gene) <= 30), {_TERMS}
+    select cluster, ns, go_id, n_genes, round(p, 6) as p, round(q, 6) as q from top qualify row_number() over (partition by go_id order by p, cluster) = 1""")
 def _(t):
-    labels = t("cells").where("classification is not null").select("cell_id", F.col("classification").alias("label"))
-    return enrich.forward_differential(t("expr"), labels, *_brand_map(t), genes=10)
+    expr, genes, assoc = _flow(t)
+    labels = t("flow_cells").select("cell_id", F.col("classification").alias("label"))
+    out = enrich.forward_differential(expr, labels, genes, assoc, genes=30, lfc=0.5)
+    return out.select("cluster", "ns", "go_id", "n_genes", *[F.round(c, 6).alias(c) for c in ("p", "q")])
 
 
 @query("x12_reverse_score", """

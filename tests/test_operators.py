@@ -234,6 +234,23 @@ def test_components_are_those_of_the_centred_matrix(spark):
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
 
 
+def test_components_of_sparse_counts(spark):
+    """More genes than directions: rounds until the first three are kept; cells without counts are points too."""
+    r = np.random.default_rng(6)
+    x = r.poisson(0.15, (70, 140)) * 1.0
+    x += np.outer(r.integers(0, 2, 70), r.integers(0, 2, 140)) * r.poisson(1.5, (70, 140)) + np.outer(np.arange(70) % 3 == 0, np.arange(140) % 4 == 0) * 2
+    x[9] = 0
+    rows = [(int(i), f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))] + [(9, "g0", 0.0), (9, "other", 5.0)]
+    df = spark.createDataFrame(rows, "cell_id long, gene string, n double")
+    panel = spark.createDataFrame([(f"g{j}",) for j in range(140)], "gene string")
+    got = np.array([y.pc for y in expression.pca(df, 3, panel, more=6).orderBy("cell_id").collect()])
+    c = x - x.mean(0)
+    want = c @ np.linalg.svd(c)[2][:3].T
+    assert got.shape == (70, 3) and np.allclose(np.abs(got), np.abs(want), atol=1e-5)
+    assert expression.pca(df.limit(0), 3).count() == 0
+    assert [y.pc for y in expression.pca(df.where("n = 0"), 2).collect()] == [[]]
+
+
 def test_tar_shards(spark, tmp_path):
     images = spark.createDataFrame([(str(i), bytes([i] * i)) for i in range(25)], "key string, content binary").repartition(2)
     labels = spark.createDataFrame([(str(i), f"c{i % 3}") for i in range(24)], "key string, label string")

@@ -51,5 +51,6 @@ def test_query(name, spark, sql):
         return
     want = sql.execute(ORACLE_SQL[name]).fetchdf()
     assert sorted(found.columns) == sorted(want.columns)
+    assert len(want) or not name.startswith("x12")
     a, b = rows(found), rows(want)
     assert a == b or near(a, b)
