@@ -30,7 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score(docs, quality.fit(docs, labels), into="__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(docs.columns)
+    with batches_of(spark):  # whole texts meet the model, so they are written here, from Arrow batches of bounded size
+        return written(scored.where(F.col("__quality") >= quality.THRESHOLD).select(docs.columns), "good")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
