@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cellstrata.functions.compare import compared
 from cellstrata.operators.select import effective_class
-from cellstrata.plans.lineage import cut, small
+from cellstrata.plans.lineage import cut, small, written
 
 
 def normalise_edges(edges: DataFrame) -> DataFrame:
@@ -127,19 +130,86 @@ def neighbourhood_enrichment(cells: DataFrame, edges: DataFrame, targets: Sequen
     )
 
 
-def _layers(target: DataFrame, other: DataFrame, edges: DataFrame, max_layers: int) -> DataFrame:
+#: Cells of a block, about.
+BLOCK = 16_384
+
+
+def spatial_blocks(cells: DataFrame, most: int) -> DataFrame:
+    """``(cell_id, block)``: grid squares of about ``most`` cells; a square with more is dealt to several blocks by hash, and so are cells without a place, or all where none has one."""
+    if not {"x", "y"} <= set(cells.columns):
+        return cells.select("cell_id", F.pmod(F.xxhash64("cell_id"), F.lit(math.ceil(cells.count() / most) or 1)).alias("block"))
+    c = cut(cells.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    size = c.agg(F.count(F.lit(1)).alias("n"), *[f(v).alias(f"{f.__name__}_{v}") for v in "xy" for f in (F.min, F.max)]).first()
+    wide, high = ((size[f"max_{v}"] or 0.0) - (size[f"min_{v}"] or 0.0) for v in "xy")
+    side = max(math.sqrt(max(wide, 1e-9) * max(high, 1e-9) * most / max(1, size["n"])), 1e-9)
+    side = side if math.isfinite(side) else 1.0
+    at = lambda v: F.coalesce(F.floor((F.col(v) - F.lit(size[f"min_{v}"])) / side), F.lit(-1))
+    c = c.withColumns({"bx": at("x"), "by": at("y")})
+    deal = c.groupBy("bx", "by").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    return c.join(deal, ["bx", "by"]).select("cell_id", F.xxhash64("bx", "by", F.pmod(F.xxhash64("cell_id"), F.col("parts"))).alias("block"))
+
+
+_RELAXED = "block long, cell_id long, layer long, own boolean"
+
+
+def _relaxed(max_layers: int):
+    """Least layers within a block, from those of its cells that are given on; then what its border cells say to other blocks."""
+    form = pa.schema([("block", pa.int64()), ("cell_id", pa.int64()), ("layer", pa.int64()), ("own", pa.bool_())])
+
+    def relax(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        kind, src, dst, other, layer = (table.column(c).to_numpy() for c in ("kind", "src", "dst", "other", "layer"))
+        names, at = np.unique(src, return_inverse=True)
+        far = np.iinfo(np.int64).max // 2
+        best, known = np.full(len(names), far), np.full(len(names), far)
+        np.minimum.at(best, at[kind != 0], layer[kind != 0])
+        np.minimum.at(known, at[kind == 1], layer[kind == 1])
+        a, to, there = at[kind == 0], dst[kind == 0], other[kind == 0]
+        here = there == block
+        ends = np.searchsorted(names, to[here]).clip(0, len(names) - 1)
+        starts, ends = a[here][names[ends] == to[here]], ends[names[ends] == to[here]]
+        while True:
+            step = best.copy()
+            np.minimum.at(step, ends, best[starts] + 1)
+            if max_layers:
+                step[step > max_layers] = far
+            if (step == best).all():
+                break
+            best = step
+        some = best < far
+        said = ~here & (best[a] < known[a])  # only of cells that came nearer
+        if max_layers:
+            said &= best[a] < max_layers
+        out = [
+            np.concatenate([np.full(int(some.sum()), block), there[said]]),
+            np.concatenate([names[some], to[said]]),
+            np.concatenate([best[some], best[a][said] + 1]),
+        ]
+        own = np.arange(len(out[0])) < int(some.sum())
+        return pa.table([*map(pa.array, out), pa.array(own)], schema=form)
+
+    return relax
+
+
+def _layers(target: DataFrame, other: DataFrame, edges: DataFrame, max_layers: int, cells: DataFrame) -> DataFrame:
+    """Layers by relaxation within spatial blocks; only what cells at the border of a block say goes on to the next round, and only to the blocks it concerns."""
+    target = cut(target)
     e = cut(edges.select(F.col("src").alias("cell_id"), F.col("dst").alias("next")).join(target, "cell_id", "left_semi"))
     first = e.join(other.select(F.col("cell_id").alias("next")), "next", "left_semi").select("cell_id").distinct()
-    frontier, layer = cut(first.withColumn("layer", F.lit(1))), 1
-    e = cut(e.join(target.select(F.col("cell_id").alias("next")), "next", "left_semi"))  # from here on within the targets
-    seen = frontier
-    while not frontier.isEmpty() and (max_layers == 0 or layer < max_layers):
-        layer += 1
-        reached = e.join(frontier.select("cell_id"), "cell_id").select(F.col("next").alias("cell_id")).distinct()
-        new = reached.join(seen.select("cell_id"), "cell_id", "left_anti")
-        frontier = cut(new.withColumn("layer", F.lit(layer)))
-        seen = seen.unionByName(frontier)
-    return seen
+    place = cut(spatial_blocks(cells.join(target, "cell_id", "left_semi"), BLOCK))
+    links = e.join(place, "cell_id").join(place.select(F.col("cell_id").alias("next"), F.col("block").alias("other")), "next")
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    links = written(links.select("block", F.lit(0).alias("kind"), F.col("cell_id").alias("src"), F.col("next").alias("dst"), "other", zero("layer")), "links")
+    said = cut(first.join(place, "cell_id").select("block", "cell_id", F.lit(1).cast("long").alias("layer")))
+    state = said.limit(0)
+    while not said.isEmpty():
+        active = small(cut(said.select("block").distinct()))
+        value = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), F.col("cell_id").alias("src"), zero("dst"), zero("other"), "layer")
+        rows = links.join(active, "block", "left_semi").unionByName(value(state.join(active, "block", "left_semi"), 1)).unionByName(value(said, 2))
+        out = written(rows.groupBy("block").applyInArrow(_relaxed(max_layers), _RELAXED), "layers")
+        state = cut(state.join(active, "block", "left_anti").unionByName(out.where("own").drop("own")))
+        said = cut(out.where("not own").groupBy("block", "cell_id").agg(F.min("layer").alias("layer")))
+    return state.select("cell_id", F.col("layer").cast("int").alias("layer"))
 
 
 def boundary_layers(cells: DataFrame, edges: DataFrame, targets: Sequence[str], max_layers: int = 0) -> DataFrame:
@@ -148,7 +218,7 @@ def boundary_layers(cells: DataFrame, edges: DataFrame, targets: Sequence[str],
     A null class is neither target nor opponent; targets out of reach have no row.
     """
     c = F.col("classification")
-    return _layers(cells.where(c.isin(*targets)).select("cell_id"), cells.where(~c.isin(*targets)).select("cell_id"), edges, max_layers)
+    return _layers(cells.where(c.isin(*targets)).select("cell_id"), cells.where(~c.isin(*targets)).select("cell_id"), edges, max_layers, cells)
 
 
 def boundary_layers_by_measurement(
@@ -158,7 +228,7 @@ def boundary_layers_by_measurement(
     value = measurements.where(F.col("name") == name).select("cell_id", "value")
     hit = F.coalesce(compared(F.col("value"), op, threshold), F.lit(False))
     marked = cells.select("cell_id").join(value, "cell_id", "left").select("cell_id", hit.alias("hit"))
-    return _layers(marked.where("hit").select("cell_id"), marked.where("not hit").select("cell_id"), edges, max_layers)
+    return _layers(marked.where("hit").select("cell_id"), marked.where("not hit").select("cell_id"), edges, max_layers, cells)
 
 
 def require_measurement(measurements: DataFrame, name: str) -> int:

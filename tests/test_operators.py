@@ -132,6 +132,25 @@ def test_bh_is_monotone_and_not_below_p(spark):
     assert all(q >= p for p, q in out) and all(a[1] <= b[1] for a, b in zip(out, out[1:])) and math.isclose(out[-1][1], 0.8)
 
 
+def test_layers_by_blocks(spark, monkeypatch):
+    """100 layers over several blocks in few rounds; a dense square is dealt out; the limit holds."""
+    monkeypatch.setattr(graph, "BLOCK", 400)
+    cells = [(100 * x + y, float(x), float(y), "T" if x else "O") for x in range(101) for y in range(6)]
+    cells += [(20_000 + k, 50.0, 3.0, "T") for k in range(300)] + [(30_000, None, None, "T"), (2**60 + 1, 7.0, 7.0, None)]
+    links = [(a[0], b[0]) for a in cells[:606] for b in cells[:606] if abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1]
+    links += [(20_000 + k, 5003) for k in range(300)] + [(30_000, 5003), (2**60 + 1, 700)]
+    c = spark.createDataFrame(cells, "cell_id long, x double, y double, classification string")
+    e = graph.normalise_edges(spark.createDataFrame(links, "src long, dst long"))
+    want = {100 * x + y: x for x in range(1, 101) for y in range(6)} | {20_000 + k: 51 for k in range(300)} | {30_000: 51}
+    dealt = graph.spatial_blocks(c, 120).groupBy("block").count().select("count").collect()
+    assert sum(r[0] for r in dealt) == len(cells) and max(r[0] for r in dealt) <= 200
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name="t", own=graph.written: (rounds.append(name), own(df, name))[1])
+    assert {r.cell_id: r.layer for r in graph.boundary_layers(c, e, ["T"]).collect()} == want
+    assert rounds.count("layers") < 15
+    assert {r.cell_id: r.layer for r in graph.boundary_layers(c, e, ["T"], 4).collect()} == {k: v for k, v in want.items() if v <= 4}
+
+
 def test_known_communities(spark):
     """Two cliques, a ring of cliques, a planted partition: each group is a community."""
     r = random.Random(1)
