@@ -136,6 +136,80 @@ def _components_sql(nodes: str, links: str) -> str:
     """
 
 
+def _crc_sql(s: str) -> str:
+    """Unsigned CRC-32 of the ASCII string ``s``, bit by bit."""
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, strlen({s}) + 1), lambda i: ord(substr({s}, i, 1))::bigint)), lambda c, b: {byte}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """Least (cost, initials) for each last role after each row; a least structure is the cheapest, then the ASCII-least."""
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    follow = {"n": "u", "s": "u", "u": "a", "a": "u"}  # n: no row kept yet
+
+    def put(cost: str, edits: str, to: str) -> str:
+        return f"case when {to} is not null then struct_pack(c := {to}.c + {cost}, e := {to}.e || {edits}) end"
+
+    # one and two inserts before a row, from each state
+    one = {q: [put("0", "''", f"w.{q}")] for q in follow}
+    for q, then in follow.items():
+        one[then].append(put("3", "'I'", f"w.{q}"))
+        one[follow[then]].append(put("6", "'II'", f"w.{q}"))
+    ready = {q: f"least({', '.join(x)})" for q, x in one.items()}
+    stays, more = "k.fault in ('k', 't')", "(case when k.fault = 't' then 3 else 0 end)"
+    after = {q: [put("4", "'D'", f"r.{q}")] for q in follow}
+    for q, then in follow.items():
+        after[then].append(f"case when {stays} then {put('3 + ' + more, chr(39) + 'R' + chr(39), 'r.' + q)} end")
+        after[then].append(f"case when {stays} and k.initial = '{then}' then {put(more, chr(39) + 'K' + chr(39), 'r.' + q)} end")
+    after["s"].append(f"case when {stays} and k.initial = 's' then {put(more, chr(39) + 'K' + chr(39), 'r.n')} end")
+    state = ", ".join(f"least({', '.join(after[q])}) as {q}" for q in follow)
+    end = "least(r.n, r.a)"
+    nothing = "null::struct(c bigint, e varchar)"
+    return f"""
+        with recursive src as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') as conv, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+        hashed as (select *, {_crc_sql('key')} % 20 as k from src),
+        dealt as (select conv, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                  unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) as copy from hashed),
+        named as (select *, sha256(length(role) || ':' || role || text) as print, rtrim(text, {white}) as ends from dealt),
+        placed as (select *, row_number() over (partition by conv order by turn nulls first, print, copy) as i from named),
+        k as (select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end as initial,
+              case when ends = '' then 'b' when row_number() over (partition by conv, print order by i) > 1 then 'd' when right(ends, 1) in ('.', '!', '?') then 'k' else 't' end as fault from placed),
+        walk(conv, i, n, s, u, a) as (
+            select conv, 0::bigint, struct_pack(c := 0::bigint, e := ''), {nothing}, {nothing}, {nothing} from (select distinct conv from k)
+            union all
+            select conv, i, n, s, u, a from (
+                select k.conv, k.i, {state} from k join (select w.conv, w.i, {", ".join(f"{x} as {q}" for q, x in ready.items())} from walk w) r on k.conv = r.conv and k.i = r.i + 1)),
+        size as (select conv, count(*) as n_rows, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+                 case when count(turn) = 0 then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps from k group by conv),
+        bad as (select conv, count(*) filter (last || initial not in ('su', 'ua', 'au')) as illegal from (select conv, initial, lag(initial) over (partition by conv order by i) as last from k) where last is not null group by conv),
+        best as (select r.conv, {end}.c as cost, {end}.e as audit from (select w.conv, w.i, {", ".join(f"{x} as {q}" for q, x in ready.items())} from walk w) r join size on size.conv = r.conv and size.n_rows = r.i),
+        letters as (select conv, unnest(range(1, strlen(audit) + 1)) as p, audit from best),
+        edits as (select conv, p, substr(audit, p, 1) as e, strlen(regexp_replace(left(audit, p), 'I', '', 'g')) as i from letters),
+        done as (select edits.conv, p, e, k.role, coalesce(case when e <> 'I' then k.text end, '') as text, row_number() over (partition by edits.conv order by p) - max(case when e = 'K' and k.initial = 's' then 1 else 0 end) over (partition by edits.conv) as place
+                 from edits left join k on k.conv = edits.conv and k.i = edits.i where e <> 'D'),
+        lines as (select conv, p, (case when e = 'K' then role when place % 2 = 1 then 'user' else 'assistant' end) || ':' || text as line from done),
+        sha as (select conv, sha256(string_agg(line, chr(10) order by p)) as repaired_sha256 from lines group by conv)
+        select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+               coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+        from (select distinct conv_id, conv from src) o left join size using (conv) left join bad using (conv) left join best using (conv) left join sha using (conv)
+    """
+
+
+_TRIE_SQL = f"""
+    with src as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+    own as (select conv_id, list(struct_pack(role := role, text := text) order by turn nulls first, sha256(length(role) || ':' || role || text)) as t, {_crc_sql('conv_id::varchar')} % 6 as h from src group by conv_id),
+    whole as (select o.conv_id, list_concat(coalesce(b.t[1:o.h], []), o.t[o.h + 1:]) as t from own o left join own b on b.conv_id = o.conv_id - o.conv_id % 100),
+    prefix as (select conv_id, len(t) as n, d, t[1:d] as p from (select conv_id, t, unnest(range(0, len(t) + 1)) as d from whole)),
+    node as (select p, d, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d) as ends from prefix group by p, d),
+    tree as (select node.*, above.conv_id as parent_conv_id, (select count(*) from node below where below.d = node.d + 1 and below.p[1:node.d] = node.p) as n_children
+             from node left join node above on above.d = node.d - 1 and above.p = node.p[1:node.d - 1]),
+    spread as (select p[1:k] as p, k as d, (n_children = 0)::bigint as leaf, case when d = 0 then 0 else (n_convs - 1) * length(p[d].text) end as saved from (select *, unnest(range(0, d + 1)) as k from tree)),
+    total as (select p, d, sum(leaf) as n_leaves, sum(saved) as saved_tokens from spread group by p, d)
+    select tree.conv_id, tree.d::bigint as depth, parent_conv_id, n_convs, n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+    from tree join total using (p, d)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_near_vectors": "with recursive "
     + _components_sql(
@@ -166,6 +240,8 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(s)::bigint as n_shingles, component_id from sets join comp on comp.id = doc_id
     """,
     "op7_licences": _licence_sql(),
+    "op11_repair": _repair_sql(),
+    "op12_prefix_trie": _TRIE_SQL,
     "op4_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
         d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as payload_digest from p),

@@ -146,3 +146,18 @@ def test_repaired_rows(spark, odd):
     roles = done.groupBy("conv").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "role"))), lambda x: F.substring(x.role, 1, 1)), "").alias("r"))
     assert all(re.fullmatch("s?(ua)+", x.r) for x in roles.collect())
     assert not done.where("edit = 'I' and (text <> '' or turn is not null)").count()
+
+
+def test_sql_of_the_query(odd):
+    import duckdb
+    import pandas as pd
+
+    from cellstrata.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    columns = dict(zip(("conv_id", "turn", "role", "text"), zip(*odd)))
+    con.register("rows", pd.DataFrame({k: pd.array(v, "Int64" if k in ("conv_id", "turn") else object) for k, v in columns.items()}))
+    con.execute("create view conversations as select conv_id::bigint as conv_id, turn::bigint as turn, role, text from rows")
+    names = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    got = con.execute(f"select {', '.join(names)} from ({ORACLE_SQL['op11_repair']})").fetchall()
+    assert {r[0]: r[1:] for r in got} == brute(odd)

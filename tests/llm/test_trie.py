@@ -105,3 +105,17 @@ def test_end_digests_in_pieces(spark):
     ends = spark.range(10_000).select(F.lit(3).cast("long").alias("depth"), (F.col("id") % 2).alias("a"), F.lit(0).cast("long").alias("b"), F.col("id").alias("conv_id"))
     got = {r.a: r.ends_sha256 for r in trie.end_digests(ends).collect()}
     assert got == {k: hashlib.sha256(",".join(map(str, range(k, 10_000, 2))).encode()).hexdigest() for k in (0, 1)}
+
+
+def test_sql_of_the_query(odd):
+    import duckdb
+    import pandas as pd
+
+    from cellstrata.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    columns = dict(zip(("conv_id", "turn", "role", "text"), zip(*odd)))
+    con.register("rows", pd.DataFrame({k: pd.array(v, "Int64" if k in ("conv_id", "turn") else object) for k, v in columns.items()}))
+    con.execute("create view conversations as select conv_id::bigint as conv_id, turn::bigint as turn, role, text from rows")
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(con.execute(f"select {', '.join(names)} from ({ORACLE_SQL['op12_prefix_trie']})").fetchall(), key=str) == brute(odd)
