@@ -6,16 +6,27 @@ its key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from cellstrata.plans.lineage import cut, small
 
 
 def _csv(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, sep: str = ",") -> DataFrame:
     return spark.read.schema(schema).csv(path, header=header, sep=sep, quote='"', mode="PERMISSIVE", enforceSchema=True)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """``(i, value)``: lines of text with their number from 0, in file order."""
-    return df.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("i long, value string")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(i, value)``: lines of text with their number from 0, in the order of file names and of places in a file.
+
+    Lines are counted for each block of a file, a row for each, and get their
+    number from these counts and their place within the block.
+    """
+    where = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in where.items()])
+    blocks = lines.groupBy("__file", "__block").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__file", "__block")) - F.col("n")
+    shift = small(cut(blocks.select("__file", "__block", (before - F.col("first")).alias("shift"))))
+    return lines.join(shift, ["__file", "__block"]).select((F.col("__id") + F.col("shift")).alias("i"), "value")
 
 
 def read_xenium_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +47,13 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mtx(spark: SparkSession, barcodes: str, features: str, matrix: str) -> DataFrame:
     """S3: ``expr(cell_id, feature_id, gene, feature_type, n)`` from numbered barcodes and features and 1-based triplets after three header lines."""
-    cells = _numbered(spark.read.text(barcodes)).select((F.col("i") + 1).alias("b"), F.col("value").alias("cell_id"))
+    cells = numbered_lines(spark, barcodes).select((F.col("i") + 1).alias("b"), F.col("value").alias("cell_id"))
     parts = F.split("value", "\t")
-    genes = _numbered(spark.read.text(features)).select(
+    genes = numbered_lines(spark, features).select(
         (F.col("i") + 1).alias("f"), parts[0].alias("feature_id"), parts[1].alias("gene"), parts[2].alias("feature_type")
     )
-    triple = F.split(F.trim("value"), "\\s+")
-    rows = _numbered(spark.read.text(matrix)).where("i >= 3 and trim(value) <> ''")
+    triple = F.split(F.when(F.col("i") >= 3, F.trim("value")), "\\s+")  # header lines are never cast, wherever the filter is put
+    rows = numbered_lines(spark, matrix).where("i >= 3 and trim(value) <> ''")
     rows = rows.select(triple[0].cast("long").alias("f"), triple[1].cast("long").alias("b"), triple[2].cast("long").alias("n"))
     return rows.join(genes, "f").join(cells, "b").select("cell_id", "feature_id", "gene", "feature_type", "n")
 

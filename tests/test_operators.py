@@ -12,7 +12,7 @@ from cellstrata.functions import quantiles as quantile_module
 from cellstrata.functions.quantiles import at_ranks, quantiles
 from cellstrata.operators import assign, communities, datasets, expression, graph, ordered, register, select, spatial, tiles
 from cellstrata.operators.components import connected_components
-from cellstrata.sources import writers
+from cellstrata.sources import readers, writers
 
 
 def path_cells(spark, classes):
@@ -316,3 +316,20 @@ def test_ranks_of_one_gene_span_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert ordered.running_totals(df.limit(0), ["gene"], ["v"], "c", "below").count() == 0
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    """Blocks of a file, several files of any size, no Python in the plan."""
+    lines = [f"line {k} " + "x" * (k % 70) for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines[:200]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(lines[200:2900]))
+    (tmp_path / "c.txt").write_text("\n".join(lines[2900:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000b")
+    try:
+        out = readers.numbered_lines(spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() > 10
+        assert [r.value for r in out.orderBy("i").collect()] == lines and out.agg(F.min("i"), F.max("i")).first() == (0, 2999)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Arrow", "ExternalRDD"))
