@@ -143,38 +143,78 @@ def pca(expr: DataFrame, k: int, genes: DataFrame | None = None, more: int = 20,
     return of_cells(first).select("cell_id", F.array(*[F.col(f"y{j}") for j in range(first.shape[1])]).alias("pc"))
 
 
-def neighbours(vectors: DataFrame, k: int = 15, block: int = 2048, key: str = "id", column: str = "v") -> DataFrame:
-    """``(id, other, distance)``: the ``k`` nearest vectors, exactly; blocks of queries meet blocks of vectors as matrices.
-
-    Each task holds two blocks. Ties go to the smaller id. This is the exact
-    all-against-all mode: its work grows with the square of the rows, so beyond
-    some millions of vectors reduce them first (principal components, samples).
+def neighbours(vectors: DataFrame, k: int = 15, block: int = 2048, key: str = "id", column: str = "v", pivots: int = 512) -> DataFrame:
+    """``(id, other, distance)``: the ``k`` nearest vectors, exactly; ties go to the smaller id.
+
+    Each vector belongs to the cell of its nearest pivot (``pivots`` at most,
+    the square root of the rows in number), cells of many are dealt in parts of
+    about ``block``. Within its part a vector finds how far its ``k``-th
+    neighbour can be; by the triangle inequality it then meets only the cells
+    whose nearest point may be closer. A task holds a part and as many asking
+    vectors. Vectors without clusters meet most cells, so the work then grows
+    with the square of the rows; clustered ones meet few.
     """
     import numpy as np
     import pandas as pd
 
-    v = vectors.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
-    blocks = max(1, math.ceil(v.count() / block))
-    own = v.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = own.select("q", F.explode(all_blocks).alias("b"), "id", "v", F.lit(True).alias("asks"))
-    b = own.select(F.explode(all_blocks).alias("q"), F.col("q").alias("b"), "id", "v", F.lit(False).alias("asks"))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, have = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
-        if not len(ask) or not len(have):
+    v = written(vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("v is not null"), "vectors")
+    count = v.count()
+    some = v.orderBy(F.xxhash64("id"), "id").limit(max(1, min(pivots, math.isqrt(count)))).collect()
+    if not some:
+        return v.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance")).limit(0)
+    centre = np.array([r["v"] for r in some], float)
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+
+    def place(frames):
+        for f in frames:
+            if len(f):
+                d = apart(np.stack(f.v), centre)
+                yield f.assign(cell=d.argmin(1), r=d.min(1))
+
+    placed = written(v.mapInPandas(place, "id long, v array<double>, cell int, r double"), "placed")
+    size, radius = np.zeros(len(centre), np.int64), np.full(len(centre), -np.inf)
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect():
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    parts = np.maximum(1, -(-size // block))
+    dealt = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)).cast("int")
+    placed = placed.withColumn("part", dealt)
+
+    def ask(f: pd.DataFrame) -> pd.DataFrame:
+        """To which cells and parts the vectors of one part have to go."""
+        x = np.stack(f.v)
+        to = apart(x, centre)
+        order = np.argsort(to + radius, axis=1)
+        enough = np.cumsum(size[order], axis=1) > k
+        far = np.where(enough.any(1), np.take_along_axis(to + radius, order, 1)[np.arange(len(x)), enough.argmax(1)], np.inf)
+        if len(x) > k:
+            own = apart(x, x)
+            far = np.minimum(far, np.partition(own, k, axis=1)[:, k])  # itself included
+        slack = 1e-6 * (1 + np.where(np.isfinite(far), far, 0.0))
+        who, cell = np.nonzero((to - radius <= (far + slack)[:, None]) & (size > 0))
+        n = parts[cell]
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        who, cell = np.repeat(who, n), np.repeat(cell, n)
+        return pd.DataFrame({"cell": cell, "part": part, "id": f.id.to_numpy()[who], "v": f.v.to_numpy()[who]})
+
+    asks = written(placed.groupBy("cell", "part").applyInPandas(ask, "cell int, part int, id long, v array<double>"), "asks")
+    turns = asks.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("turns"))
+    asking = asks.join(turns, ["cell", "part"]).select("cell", "part", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int").alias("turn"), "id", "v")
+    having = placed.join(turns, ["cell", "part"]).select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "v")
+
+    def near(q: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(have):
             return pd.DataFrame({"id": [], "other": [], "distance": []})
-        x, y = np.stack(ask.v), np.stack(have.v)
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
-        ids = have.id.to_numpy()
-        d[ask.id.to_numpy()[:, None] == ids] = np.inf
+        have = have.sort_values("id")
+        ids, d = have.id.to_numpy(), apart(np.stack(q.v), np.stack(have.v))
+        d[q.id.to_numpy()[:, None] == ids] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame(
-            {"id": np.repeat(ask.id.to_numpy(), order.shape[1]), "other": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}
-        )
+        out = pd.DataFrame({"id": np.repeat(q.id.to_numpy(), order.shape[1]), "other": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
         return out[np.isfinite(out.distance)]
 
-    found = a.unionByName(b).groupBy("q", "b").applyInPandas(near, "id long, other long, distance double")
+    keys = ["cell", "part", "turn"]
+    found = asking.groupBy(*keys).cogroup(having.groupBy(*keys)).applyInPandas(near, "id long, other long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 

@@ -333,3 +333,24 @@ def test_lines_are_numbered_in_file_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Arrow", "ExternalRDD"))
+
+
+def test_neighbours_of_clusters(spark, monkeypatch):
+    """Exact with hot cells and equal vectors; clustered vectors meet few cells, so asks grow less than eightfold for four times the rows."""
+    r = np.random.default_rng(12)
+    centres = r.normal(0, 40, (40, 6))
+    asked = []
+    monkeypatch.setattr(expression, "written", lambda df, name="t", own=expression.written: (lambda out: (asked.append(out.count()) if name == "asks" else None, out)[1])(own(df, name)))
+    for n in (400, 1600):
+        x = centres[r.integers(0, 40, n)] + r.normal(0, 1, (n, 6))
+        x[: n // 3] = x[0] + r.normal(0, 0.01, (n // 3, 6))  # a hot cell
+        x[5:9] = x[4]
+        df = spark.createDataFrame([(i, [float(a) for a in v], "mine") for i, v in enumerate(x)], "id long, v array<double>, cell string")
+        got: dict = {}
+        for y in expression.neighbours(df, 4, block=50).collect():
+            got.setdefault(y.id, []).append(y.distance)
+        d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        assert sorted(got) == list(range(n)) and np.allclose([sorted(got[i]) for i in range(n)], np.sort(d, 1)[:, :4], atol=1e-5)
+    assert asked[1] < 8 * asked[0]
+    assert len(expression.neighbours(df.limit(3), 5).collect()) == 6 and expression.neighbours(df.limit(0), 5).count() == 0
