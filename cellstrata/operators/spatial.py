@@ -70,7 +70,7 @@ def mean_cell_size(measurements: DataFrame, longest: str = "max_diameter", short
     """One row ``size``: the mean of the mean longest and mean shortest diameter, over ``sample`` cells by a seeded hash (0: all)."""
     if sample:
         chosen = sample_cells(measurements.where(F.col("name").isin(longest, shortest)).select("cell_id").distinct(), sample, seed, strict=False)
-        measurements = measurements.join(F.broadcast(chosen.select("cell_id")), "cell_id", "left_semi")  # as few as were asked for
+        measurements = measurements.join(small(cut(chosen.select("cell_id"))), "cell_id", "left_semi")
     mean = lambda n: F.avg(F.when(F.col("name") == n, F.col("value")))
     return measurements.where(F.col("name").isin(longest, shortest)).agg(((mean(longest) + mean(shortest)) / 2).alias("size"))
 

@@ -10,7 +10,7 @@ from cellstrata.functions.geometry import box_polygon
 from cellstrata.operators import select
 from cellstrata.operators.graph import dense_index
 from cellstrata.plans.fixtures import Tables
-from cellstrata.plans.lineage import cut, shared_dir
+from cellstrata.plans.lineage import cut, distinct_names, shared_dir
 from cellstrata.plans.queries import query
 from cellstrata.sources import readers, writers
 
@@ -59,7 +59,7 @@ def _(t):
 
 
 def _wide(t: Tables, key: list) -> DataFrame:
-    genes = sorted(r["gene"] for r in t("expr").select("gene").distinct().collect())
+    genes = distinct_names(t("expr"), "gene")
     return t("expr").groupBy(*key).pivot("gene", genes).agg(F.sum("n")).na.fill(0)
 
 
