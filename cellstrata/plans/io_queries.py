@@ -138,6 +138,31 @@ def _(t):
     return t.spark.read.parquet(f"{path}/X").withColumn("value", F.col("value").cast("double"))
 
 
+def _anndata(t: Tables, table: str) -> DataFrame:
+    path = _folder(t)
+    writers.write_anndata_tables(t("cells"), t("measurements"), path, t("edges"))
+    return t.spark.read.parquet(f"{path}/{table}")
+
+
+@query("k2_anndata_obs", "select row_number() over (order by cell_id) - 1 as row_idx, cell_id, classification, x as centroid_x, y as centroid_y from {cells}")
+def _(t):
+    return _anndata(t, "obs").select("row_idx", "cell_id", "classification", "centroid_x", "centroid_y")
+
+
+@query("k2_anndata_var", "select 'total' as name, 0 as col_idx, count(*) as rows from {measurements}")
+def _(t):
+    path = _folder(t)
+    writers.write_anndata_tables(t("cells"), t("measurements"), path)
+    return t.spark.read.parquet(f"{path}/X").join(t.spark.read.parquet(f"{path}/var"), "col_idx").groupBy("name", "col_idx").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("k2_anndata_obsp", """
+    with o as (select cell_id, row_number() over (order by cell_id) - 1 as row_idx from {cells})
+    select a.row_idx, b.row_idx as col_idx, 1.0::double as value from {edges} join o a on a.cell_id = src join o b on b.cell_id = dst""")
+def _(t):
+    return _anndata(t, "obsp").withColumn("value", F.col("value").cast("double"))
+
+
 @query("k3_tile_dataset", "select cast(cell_id as varchar) as id, classification as label, c_name as image from {cells} join {customer} on c_custkey = cell_id where classification is not null")
 def _(t):
     path = _folder(t)

@@ -416,6 +416,13 @@ def _(t):
     return graph.adjacency_csr(t("edges"), t("cells"))[0]
 
 
+@query("g12_csr_entries", """
+    with i as (select cell_id, row_number() over (order by cell_id) - 1 as row_idx from {cells})
+    select a.row_idx, b.row_idx as col_idx, 1.0::double as data from {edges} join i a on a.cell_id = src join i b on b.cell_id = dst""")
+def _(t):
+    return graph.adjacency_csr(t("edges"), t("cells"))[1]
+
+
 # ---- density, interaction, clustering -----------------------------------
 
 
