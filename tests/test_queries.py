@@ -54,3 +54,12 @@ def test_query(name, spark, sql):
     assert len(want) or not name.startswith("x12")
     a, b = rows(found), rows(want)
     assert a == b or near(a, b)
+
+
+@pytest.mark.parametrize("z", [0.0, 1.5, 2.9, 3.0, 8.0, 30.0, 45.0])
+def test_tails_of_the_oracle(z, sql):
+    """p of the oracles of ranked genes is that of the normal distribution, however large z is."""
+    from cellstrata.plans import queries
+
+    p, padj = sql.execute(f"with w as (select '1' as label, 'g' as gene, 1.0::double as lfc, {z}::double as z), {queries._P_FAR} select p, padj from tested").fetchone()
+    assert math.isclose(p, math.erfc(z / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-12 if z < 3 else 0.0) and p == padj
