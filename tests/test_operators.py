@@ -382,3 +382,14 @@ def test_tissue_tile_at_the_threshold(spark):
     rows = [(0, i, s // 3, s // 3, s - 2 * (s // 3)) for i, s in enumerate((498, 497, 157))] + [(16, 0, 1, 2, 3)]
     found = tiles.tissue_tiles(spark.createDataFrame(rows, "px long, py int, r int, g int, b int").coalesce(1), 128.0).collect()
     assert [(r.gx, r["mean"]) for r in found] == [(1, 2.0)]
+
+
+def test_near_pairs_hold_no_table_of_all_points(spark):
+    """Points are dealt before each is made nine, and neither side is broadcast however small its files look."""
+    df = spark.createDataFrame([(i, float(i % 30), float(i // 30)) for i in range(900)], "id long, x double, y double")
+    near = graph.near_pairs(df, df, 1.5).where("a <> b")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert "Exchange" in plan[plan.rindex("Generate") :]  # below the squares around each point
+    at = {(r.a, r.b) for r in near.collect()}
+    assert at == {(i, j) for i in range(900) for j in range(900) if i != j and (i % 30 - j % 30) ** 2 + (i // 30 - j // 30) ** 2 <= 2.25}
