@@ -45,9 +45,10 @@ def _(t):
     barcodes, features, matrix = (_folder(t) for _ in range(3))
     cells.orderBy("row_idx").select(F.col("cell_id").cast("string")).write.text(barcodes)
     genes.orderBy("col_idx").select(F.concat_ws("\t", "gene", "gene", F.lit("Gene Expression"))).write.text(features)
-    triples = t("expr").join(cells, "cell_id").join(genes, "gene").select(F.lit(1).alias("o"), F.concat_ws(" ", F.col("col_idx") + 1, F.col("row_idx") + 1, F.col("n").cast("long")).alias("v"))
-    head = t.spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (0, "%"), (0, "0 0 0")], "o int, v string")
-    head.union(triples).repartitionByRange(4, "o").sortWithinPartitions("o").select("v").write.text(matrix)
+    triples = t("expr").join(cells, "cell_id").join(genes, "gene").select(F.lit(3).alias("o"), F.concat_ws(" ", F.col("col_idx") + 1, F.col("row_idx") + 1, F.col("n").cast("long")).alias("v"))
+    head = t.spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general"), (1, "%"), (2, "0 0 0")], "o int, v string")
+    lines = head.union(triples).withColumn("h", F.xxhash64("v"))  # three lines first, the others dealt over all partitions
+    lines.repartitionByRange("o", "h").sortWithinPartitions("o", "h").select("v").write.text(matrix)
     return readers.read_mtx(t.spark, barcodes, features, matrix).select("cell_id", "gene", "n")
 
 

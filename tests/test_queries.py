@@ -63,3 +63,21 @@ def test_tails_of_the_oracle(z, sql):
 
     p, padj = sql.execute(f"with w as (select '1' as label, 'g' as gene, 1.0::double as lfc, {z}::double as z), {queries._P_FAR} select p, padj from tested").fetchone()
     assert math.isclose(p, math.erfc(z / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-12 if z < 3 else 0.0) and p == padj
+
+
+def test_triples_of_a_matrix_span_tasks(spark, monkeypatch):
+    """The lines of the matrix file lie in several files, its three header lines first."""
+    folders = []
+    own = io_queries._folder
+    monkeypatch.setattr(io_queries, "_folder", lambda t: (lambda f: (folders.append(f), f)[1])(own(t)))
+    monkeypatch.setattr(io_queries.readers, "read_mtx", lambda spark, *paths: spark.read.text(paths[2]).selectExpr("1 as cell_id", "1 as gene", "1 as n"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        QUERIES["s3_mtx"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    files = sorted(f for f in os.listdir(folders[2].removeprefix("file:")) if f.startswith("part"))
+    lines = [open(os.path.join(folders[2].removeprefix("file:"), f)).read().splitlines() for f in files]
+    assert [x for part in lines for x in part][:3] == ["%%MatrixMarket matrix coordinate integer general", "%", "0 0 0"]
+    assert max(map(len, lines)) < 0.6 * sum(map(len, lines))
