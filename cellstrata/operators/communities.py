@@ -8,7 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellstrata.operators.graph import normalise_edges
-from cellstrata.plans.lineage import cut, written
+from cellstrata.plans.lineage import written
+
+
+def _met(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """Join of frames of nodes or edges by sort and merge: files of few bytes hold so many nodes that a hash table of them would be large."""
+    return a.join(b.hint("merge"), on)
 
 
 def _coin(node: str, salt: int) -> Column:
@@ -20,16 +25,18 @@ def _moved(edges: DataFrame, state: DataFrame, twice: float, salt: int) -> DataF
 
     ``state(node, k, c)``: strength and community. The own community is an
     option of every node, so no move loses; ``moved`` marks those that went.
+    Rounds are written, not checkpointed: a checkpoint keeps the plan's estimate
+    of its size, a product over joins whose digits double in every round.
     """
-    linked = edges.join(state.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "w")
+    linked = _met(edges, state.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "w")
     options = linked.unionByName(state.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
     volume = state.groupBy("c").agg(F.sum("k").alias("volume"))
     own = state.select("node", "k", F.col("c").alias("now"))
     rest = F.col("volume") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-    scored = options.join(volume, "c").join(own, "node").withColumn("gain", F.round(F.col("w") - F.col("k") * rest / twice, 9))
+    scored = _met(_met(options, volume, "c"), own, "node").withColumn("gain", F.round(F.col("w") - F.col("k") * rest / twice, 9))
     best = scored.groupBy("node").agg(F.first("k").alias("k"), F.first("now").alias("now"), F.max(F.struct("gain", (F.col("c") == F.col("now")).alias("stay"), (-F.col("c")).alias("c"))).alias("best"))
     to = F.when(_coin("node", salt), -F.col("best.c")).otherwise(F.col("now"))
-    return cut(best.select("node", "k", to.alias("c"), (to != F.col("now")).alias("moved")))
+    return written(best.select("node", "k", to.alias("c"), (to != F.col("now")).alias("moved")), "moved")
 
 
 def local_moving(edges: DataFrame, state: DataFrame, twice: float, salt: int = 0, most: int = 10) -> DataFrame:
@@ -53,22 +60,22 @@ def refined(edges: DataFrame, state: DataFrame, twice: float, salt: int = 0, rou
     fewer links to the rest of the community than expected take no part.
     """
     named = lambda side: state.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}"))
-    within = written(edges.join(named("src"), "src").join(named("dst"), "dst").where("c_src = c_dst").select("src", "dst", "w"), "within")
+    within = written(_met(_met(edges, named("src"), "src"), named("dst"), "dst").where("c_src = c_dst").select("src", "dst", "w"), "within")
     volume = state.groupBy("c").agg(F.sum("k").alias("kc"))
-    parts = cut(state.join(volume, "c").select("node", "k", "c", "kc", F.col("node").alias("s")))
+    parts = written(_met(state, volume, "c").select("node", "k", "c", "kc", F.col("node").alias("s")), "parts")
     for r in range(rounds):
-        links = within.join(parts.select(F.col("node").alias("dst"), F.col("s").alias("to")), "dst").join(parts.select(F.col("node").alias("src"), "s"), "src")
+        links = _met(_met(within, parts.select(F.col("node").alias("dst"), F.col("s").alias("to")), "dst"), parts.select(F.col("node").alias("src"), "s"), "src")
         outward = links.where("s <> to").groupBy("s").agg(F.sum("w").alias("out"))
         size = parts.groupBy("s").agg(F.sum("k").alias("ks"), F.count(F.lit(1)).alias("n"), F.first("kc").alias("kc"))
-        size = size.join(outward, "s", "left").withColumn("well", F.coalesce("out", F.lit(0.0)) >= F.col("ks") * (F.col("kc") - F.col("ks")) / twice)
+        size = size.join(outward.hint("merge"), "s", "left").withColumn("well", F.coalesce("out", F.lit(0.0)) >= F.col("ks") * (F.col("kc") - F.col("ks")) / twice)
         size = size.where("well").select("s", "ks", "n")
-        movers = parts.join(size.where("n = 1").select("s"), "s", "left_semi").where(_coin("node", salt + r)).select(F.col("node").alias("src"), "k")
+        movers = parts.join(size.where("n = 1").select("s").hint("merge"), "s", "left_semi").where(_coin("node", salt + r)).select(F.col("node").alias("src"), "k")
         targets = size.where((F.col("n") > 1) | ~_coin("s", salt + r)).select(F.col("s").alias("to"), "ks")
-        options = links.where("s <> to").groupBy("src", "to").agg(F.sum("w").alias("w")).join(movers, "src").join(targets, "to")
+        options = _met(_met(links.where("s <> to").groupBy("src", "to").agg(F.sum("w").alias("w")), movers, "src"), targets, "to")
         gain = F.round(F.col("w") - F.col("k") * F.col("ks") / twice, 9)
         best = options.withColumn("gain", gain).where("gain > 0").groupBy("src").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"))).alias("best"))
-        joined = parts.join(best.select(F.col("src").alias("node"), (-F.col("best.to")).alias("to")), "node", "left")
-        parts = cut(joined.select("node", "k", "c", "kc", F.coalesce("to", "s").alias("s"), F.col("to").isNotNull().alias("joined")))
+        joined = parts.join(best.select(F.col("src").alias("node"), (-F.col("best.to")).alias("to")).hint("merge"), "node", "left")
+        parts = written(joined.select("node", "k", "c", "kc", F.coalesce("to", "s").alias("s"), F.col("to").isNotNull().alias("joined")), "parts")
         if not parts.where("joined").count():
             break
         parts = parts.drop("joined")
@@ -175,7 +182,7 @@ def _in_one_task(edges: DataFrame, state: DataFrame, twice: float) -> DataFrame:
 def _modularity(edges: DataFrame, state: DataFrame, loops: float, twice: float) -> float:
     """``loops``: weight, both ways, within the nodes themselves."""
     named = lambda side: state.select(F.col("node").alias(side), F.col("c").alias(f"c_{side}"))
-    inside = edges.join(named("src"), "src").join(named("dst"), "dst").where("c_src = c_dst").agg(F.sum("w")).first()[0] or 0.0
+    inside = _met(_met(edges, named("src"), "src"), named("dst"), "dst").where("c_src = c_dst").agg(F.sum("w")).first()[0] or 0.0
     squares = state.groupBy("c").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     return (inside + loops) / twice - squares / twice**2
 
@@ -191,33 +198,33 @@ def communities(edges: DataFrame, levels: int = 20, one_task: int = 200_000) ->
     rounds. All weights are 1; directions, loops and repeated edges do not count.
     """
     e = written(normalise_edges(edges).withColumn("w", F.lit(1.0)), "edges")
-    state = cut(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")))
+    state = written(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")), "nodes")
     twice = state.agg(F.sum("k")).first()[0]
     if not twice:
         return state.select("node", F.col("c").alias("community"))
     best, loops, place, found = -1.0, 0.0, state.select("node", F.col("node").alias("now")), None
     for level in range(levels):
         if e.count() <= one_task:
-            found = cut(place.join(_in_one_task(e, state, twice).withColumnRenamed("node", "now"), "now").select("node", "c"))
+            found = written(_met(place, _in_one_task(e, state, twice).withColumnRenamed("node", "now"), "now").select("node", "c"), "found")
             break
         state = local_moving(e, state, twice, 100 * level)
         quality = _modularity(e, state, loops, twice)
         if quality <= best + 1e-9:
             break
         best = quality
-        found = cut(place.join(state.select(F.col("node").alias("now"), "c"), "now").select("node", "c"))
+        found = written(_met(place, state.select(F.col("node").alias("now"), "c"), "now").select("node", "c"), "found")
         parts = refined(e, state, twice, 100 * level + 50)
         part = parts.select("node", "s")
-        nodes = cut(parts.groupBy("s").agg(F.sum("k").alias("k"), F.first("c").alias("c")))
+        nodes = written(parts.groupBy("s").agg(F.sum("k").alias("k"), F.first("c").alias("c")), "nodes")
         if nodes.count() == part.count():
             break
-        place = cut(place.join(part.select(F.col("node").alias("now"), "s"), "now").select("node", F.col("s").alias("now")))
-        named = e.join(part.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(part.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+        place = written(_met(place, part.select(F.col("node").alias("now"), "s"), "now").select("node", F.col("s").alias("now")), "place")
+        named = _met(_met(e, part.select(F.col("node").alias("src"), F.col("s").alias("a")), "src"), part.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
         e = written(named.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "edges")
         loops = twice - (e.agg(F.sum("w")).first()[0] or 0.0)
         state = nodes.withColumnRenamed("s", "node")
     first = found.groupBy("c").agg(F.min("node").alias("community"))
-    return found.join(first, "c").select("node", "community")
+    return _met(found, first, "c").select("node", "community")
 
 
 def modularity(edges: DataFrame, state: DataFrame) -> float:

@@ -173,6 +173,18 @@ def test_known_communities(spark):
     assert communities.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_size_estimates_of_communities_do_not_grow_from_round_to_round(spark):
+    """A product of the sizes of all rounds before fills the driver's memory after some twenty rounds."""
+    edges = spark.range(100).selectExpr("id as src", "(id + 1) % 100 as dst", "1D as w")
+    edges = edges.union(edges.select("dst", "src", "w"))
+    state = spark.range(100).selectExpr("id as node", "2D as k", "id as c")
+    for r in range(4):
+        state = communities._moved(edges, state.select("node", "k", "c"), 200.0, r)
+    assert int(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 64
+    parts = communities.refined(edges, state, 200.0)
+    assert int(parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 64
+
+
 def test_softmax_and_shift(spark):
     df = spark.createDataFrame([([1.0, 1.0, 3.0],), ([2.0, 2.0, 2.0],)], "scores array<double>")
     assert [r.scores for r in tiles.shift_normalise(df).collect()] == [[0.0, 0.0, 1.0], [0.0, 0.0, 0.0]]
