@@ -607,6 +607,17 @@ def test_recall_of_leaks_against_the_rule_everywhere(spark, every):
         assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, b, exact=True).collect()} == want
 
 
+def test_share_of_an_item_s_words_needs_no_sort_of_them(monkeypatch):
+    r = np.random.default_rng(1)
+    weight = np.abs(r.standard_normal(1 << 10)).astype(np.float32)
+    text = lambda n: " ".join(f"w{k}" for k in r.integers(0, 40, n))
+    cases = [(decontaminate.Item(k, text(1 + k), weight), words.word_hashes(text(n))) for k in range(30) for n in (0, 3, 50)]
+    want = [float(x.weight[np.isin(x.words, w)].sum() / x.weight.sum()) for x, w in cases]
+    monkeypatch.setattr(decontaminate.np, "isin", None)
+    monkeypatch.setattr(decontaminate.np, "unique", None)
+    assert [x.within(w) for x, w in cases] == want
+
+
 def test_short_items_are_found(spark):
     docs, items = paraphrased(5, 1000, True)
     docs += [(200, " ".join(["w"] * 30) + " " + items[0][1] + " " + "far away " * 60_000), (None, items[1][1])]
