@@ -62,9 +62,14 @@ def write_anndata_tables(cells: DataFrame, measurements: DataFrame, path: str, e
         pairs.select("row_idx", "col_idx", F.lit(1.0).cast("float").alias("value")).write.parquet(f"{path}/obsp")
 
 
+def _labelled(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, label, content)``, dealt to tasks by key: tables of few bytes may hold very many tiles, which one task would write alone, with a hash table of all labels."""
+    return tiles.select("key", "content").join(labels.select("key", "label").hint("merge"), "key")
+
+
 def write_tile_dataset(tiles: DataFrame, labels: DataFrame, path: str, shard_rows: int = 1000) -> None:
     """K3: ``(id, label, image)`` in Parquet files of at most ``shard_rows`` rows; ``tiles(key, content)``, ``labels(key, label)``."""
-    rows = tiles.join(labels, "key").select(F.col("key").alias("id"), "label", F.col("content").alias("image"))
+    rows = _labelled(tiles, labels).select(F.col("key").alias("id"), "label", F.col("content").alias("image"))
     rows.write.option("maxRecordsPerFile", shard_rows).parquet(path)
 
 
@@ -74,7 +79,7 @@ def write_tile_shards(tiles: DataFrame, labels: DataFrame, path: str, shard_rows
     Tasks write under fresh names into ``path``, a folder that every executor
     reaches, and only files of the manifest count, so a repeated task does no harm.
     """
-    rows = tiles.join(labels, "key").select(F.col("key").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.col("content").cast("binary").alias("image"))
+    rows = _labelled(tiles, labels).select(F.col("key").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.col("content").cast("binary").alias("image"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)

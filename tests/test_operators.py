@@ -294,6 +294,22 @@ def test_tar_shards(spark, tmp_path):
     assert found == {f"{i}.png": bytes([i] * i) for i in range(24)} | {f"{i}.cls": f"c{i % 3}".encode() for i in range(24)}
 
 
+@pytest.fixture
+def no_coalescing(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tiles_of_one_partition_are_dealt_to_tasks(spark, tmp_path, no_coalescing):
+    images = spark.createDataFrame([(str(i), bytes([i])) for i in range(80)], "key string, content binary").coalesce(1)
+    labels = spark.createDataFrame([(str(i), "c") for i in range(80)], "key string, label string").coalesce(1)
+    shards = writers.write_tile_shards(images, labels, str(tmp_path / "t"), 100).collect()
+    assert len(shards) == 4 and sum(s.tiles for s in shards) == 80
+    writers.write_tile_dataset(images, labels, str(tmp_path / "d"), 100)
+    assert len(list((tmp_path / "d").glob("*.parquet"))) == 4
+
+
 def test_split_keeps_keys_on_one_side_and_sample_has_its_size(spark):
     rows = spark.createDataFrame([(str(i % 500), i) for i in range(1000)], "key string, n long")
     out = datasets.train_validation_split(rows, 0.8)
