@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cellstrata.operators import expression as ex
 from cellstrata.operators.select import split_target_opponent
-from cellstrata.plans.lineage import cut, small
+from cellstrata.plans.lineage import cut, small, written
 
 
 def map_symbols(genes: DataFrame, gene_map: DataFrame) -> DataFrame:
@@ -122,8 +122,17 @@ def score_cells(expr: DataFrame, weights: DataFrame, top: int, scale: float = 1e
 
 
 def _prepared(expr: DataFrame) -> DataFrame:
-    e = ex.filter_genes(ex.filter_cells(expr))
-    return cut(ex.log_counts(ex.normalise_total(ex.trim_by_genes(e))))
+    """Filtered, trimmed, normalised log counts, as the operators of ``expression`` one after the other give them.
+
+    Counts are written before each is read twice, genes to keep are broadcast,
+    and what trimming and scaling ask of a cell meets the counts in one join.
+    """
+    e = written(expr.select("cell_id", "gene", "n"), "counts")
+    e = written(ex.filter_cells(e), "counts")
+    e = e.join(small(cut(ex.genes_in_cells(e))), "gene", "left_semi")
+    cell = written(e.groupBy("cell_id").agg(F.count_if(F.col("n") > 0).alias("g"), F.sum("n").alias("total")).where("g > 0"), "cells")
+    cell = cut(ex.between_quantiles(cell, "g").where("total > 0"))
+    return written(ex.log_counts(ex.scaled(e, cell)), "prepared")
 
 
 def _terms_of(genes: DataFrame, population: DataFrame, gene_map: DataFrame, assoc: DataFrame, by: Sequence[str] = ()) -> DataFrame:

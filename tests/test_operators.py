@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellstrata.functions import quantiles as quantile_module
 from cellstrata.functions.quantiles import at_ranks, quantiles
-from cellstrata.operators import assign, communities, datasets, expression, graph, ordered, register, select, spatial, tiles
+from cellstrata.operators import assign, communities, datasets, enrich, expression, graph, ordered, register, select, spatial, tiles
 from cellstrata.operators.components import connected_components
 from cellstrata.sources import readers, writers
 
@@ -282,6 +282,25 @@ def test_components_of_sparse_counts(spark):
     assert [y.pc for y in expression.pca(df.where("n = 0"), 2).collect()] == [[]]
 
 
+def test_counts_are_prepared_from_one_reading(spark):
+    """As the operators one after the other, from counts that are made once."""
+    r = np.random.default_rng(3)
+    counts = [(c, f"g{g}", float(r.integers(0, 9))) for c in range(120) for g in range(40) if r.random() < (0.02 if c % 11 == 0 or g == 5 else 0.3)]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    expr = spark.createDataFrame(counts + [(None, "g1", 50.0), (3, None, 9.0), (200, "g1", 90.0)], "cell_id long, gene string, n double")
+    got = {(x.cell_id, x.gene): x.n for x in enrich._prepared(expr.mapInPandas(seen, expr.schema)).collect()}
+    assert made.value == len(counts) + 3
+    e = expression.filter_genes(expression.filter_cells(expr))
+    want = expression.log_counts(expression.normalise_total(expression.trim_by_genes(e)))
+    assert got == {(x.cell_id, x.gene): x.n for x in want.collect()} and len({c for c, _ in got}) > 60
+
+
 def test_tar_shards(spark, tmp_path):
     images = spark.createDataFrame([(str(i), bytes([i] * i)) for i in range(25)], "key string, content binary").repartition(2)
     labels = spark.createDataFrame([(str(i), f"c{i % 3}") for i in range(24)], "key string, label string")
