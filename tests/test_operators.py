@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tarfile
 
 import numpy as np
@@ -440,3 +441,36 @@ def test_near_pairs_hold_no_table_of_all_points(spark):
     assert "Exchange" in plan[plan.rindex("Generate") :]  # below the squares around each point
     at = {(r.a, r.b) for r in near.collect()}
     assert at == {(i, j) for i in range(900) for j in range(900) if i != j and (i % 30 - j % 30) ** 2 + (i // 30 - j // 30) ** 2 <= 2.25}
+
+
+@pytest.fixture
+def slide(spark, tmp_path):
+    """``(cells, edges)`` of a slide whose file is far smaller than what may be broadcast."""
+    rows = [(i, float(i % 30) + 0.01 * (i % 7), float(i // 30), "Tumor" if 6 < i % 30 < 24 else "B", i % 3) for i in range(900) if i % 11]
+    spark.createDataFrame(rows, "cell_id long, x double, y double, classification string, annotation_id int").write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    return cells, graph.radius_graph(cells, 1.5)
+
+
+def hashed_keys(spark, run):
+    """Left keys of the broadcast hash joins in all plans of the frames that ``run`` executes; none is made for sizes seen at run time."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        run().collect()
+        bus.waitUntilEmpty(30_000)
+        done = store.executionsList(before, store.executionsCount() - before)
+        plans = [done.apply(k).physicalPlanDescription() for k in range(done.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert any("SortMergeJoin" in p for p in plans)
+    return {key for p in plans for keys in re.findall(r"BroadcastHashJoin.*\nLeft keys \[\d+\]: \[(.*)\]", p) for key in re.findall(r"(\w+)#", keys)}
+
+
+def test_steps_of_the_graph_hold_no_table_of_all_cells(spark, slide):
+    cells, edges = slide
+    assert not hashed_keys(spark, lambda: graph.khop(edges, cells.select("cell_id"), 2))
+    assert not hashed_keys(spark, lambda: graph.neighbourhood_enrichment(cells, edges, ["Tumor"], k=1))
+    assert hashed_keys(spark, lambda: graph.neighbourhood_composition(cells, edges)) <= {"classification"}
