@@ -474,3 +474,13 @@ def test_steps_of_the_graph_hold_no_table_of_all_cells(spark, slide):
     assert not hashed_keys(spark, lambda: graph.khop(edges, cells.select("cell_id"), 2))
     assert not hashed_keys(spark, lambda: graph.neighbourhood_enrichment(cells, edges, ["Tumor"], k=1))
     assert hashed_keys(spark, lambda: graph.neighbourhood_composition(cells, edges)) <= {"classification"}
+
+
+def test_layers_hold_no_table_of_all_cells(spark, slide):
+    """Only the names of active blocks and the counts of grid squares are broadcast."""
+    cells, edges = slide
+    layers = lambda: graph.boundary_layers(cells, edges, ["Tumor"])
+    assert hashed_keys(spark, layers) <= {"block", "bx", "by"}
+    assert hashed_keys(spark, lambda: graph.layer_summary(layers(), cells.select("cell_id"))) <= {"block", "bx", "by"}
+    m = cells.selectExpr("cell_id", "'total' as name", "x as value")
+    assert hashed_keys(spark, lambda: graph.boundary_layers_by_measurement(cells, m, edges, "total", ">", 9.0)) <= {"block", "bx", "by"}
