@@ -484,3 +484,13 @@ def test_layers_hold_no_table_of_all_cells(spark, slide):
     assert hashed_keys(spark, lambda: graph.layer_summary(layers(), cells.select("cell_id"))) <= {"block", "bx", "by"}
     m = cells.selectExpr("cell_id", "'total' as name", "x as value")
     assert hashed_keys(spark, lambda: graph.boundary_layers_by_measurement(cells, m, edges, "total", ">", 9.0)) <= {"block", "bx", "by"}
+
+
+def test_clusters_hold_no_table_of_all_cells(spark, slide):
+    """Keys ``u`` are those of components, whose edges are estimated as a product of sizes, small on this slide only."""
+    cells, edges = slide
+    clusters = lambda: spatial.dbscan(cells, 1.5, 8)
+    assert hashed_keys(spark, lambda: spatial.cluster_sizes(clusters())) <= {"u"}
+    assert hashed_keys(spark, lambda: spatial.cluster_position(cells, clusters(), edges)) <= {"u"}
+    few = cells.selectExpr("cell_id", "cell_id % 5 as cluster_id")
+    assert not hashed_keys(spark, lambda: spatial.cluster_sizes(few)) and not hashed_keys(spark, lambda: spatial.cluster_position(cells, few, edges))
