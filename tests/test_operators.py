@@ -494,3 +494,9 @@ def test_clusters_hold_no_table_of_all_cells(spark, slide):
     assert hashed_keys(spark, lambda: spatial.cluster_position(cells, clusters(), edges)) <= {"u"}
     few = cells.selectExpr("cell_id", "cell_id % 5 as cluster_id")
     assert not hashed_keys(spark, lambda: spatial.cluster_sizes(few)) and not hashed_keys(spark, lambda: spatial.cluster_position(cells, few, edges))
+
+
+def test_degrees_hold_no_table_of_all_cells(spark, slide):
+    cells, edges = slide
+    positions = cells.selectExpr("cell_id", "1L as cluster_id", "case when x < 1 then 'edge' else 'center' end as position")
+    assert not hashed_keys(spark, lambda: spatial.edge_degree(positions, edges))
