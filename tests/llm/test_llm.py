@@ -626,6 +626,46 @@ def test_short_items_are_found(spark):
     assert got == brute_leaks(docs, items, decontaminate.word_rarity(d, "text", 1 << 20)) and {(200, 0), (None, 1)} < got
 
 
+def stretched(seed=3):
+    """Each item once with a foreign word after every one of its words, so that half of each passage is foreign, and hosts without any."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeioubdfglmnprst") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(r.randrange(12, 40)))) for k in range(25)]
+    host = lambda n: " ".join(word() for _ in range(n))
+    docs = [(k, f"{host(30)} {' '.join(f'{x} {word()}' for x in text.split())} {host(30)}") for k, text in items]
+    return docs + [(100 + k, host(100)) for k in range(25)], items
+
+
+def test_leaks_whose_passages_are_half_foreign_are_found(spark):
+    docs, items = stretched()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items, decontaminate.word_rarity(d, "text", 1 << 20))
+    assert len(want) == 25
+    for way in ({}, {"exact": True}, {"block": 10}):
+        assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, b, **way).collect()} == want
+
+
+def test_spans_hold_all_that_the_rule_looks_at(monkeypatch):
+    """Whatever is held around a place is held in a span of the text, however few sums are taken at once."""
+    r = np.random.default_rng(4)
+    weight = np.abs(r.standard_normal(1 << 10)).astype(np.float32) + 0.1
+    text = lambda n: " ".join(f"w{k}" for k in r.integers(0, 60, n))
+    items = [decontaminate.Item(k, text(n), weight) for k, n in enumerate([1, 3, 4, 5, 8, 11, 12, 16, 17, 30, 70, 300])]
+    texts = [words.word_hashes(t) for t in ("", text(1), text(7), "", text(40), text(90), text(700), text(3000), "")]
+    space = decontaminate.Space(items, weight, 0.55, 0.5)
+    found = sorted(space.spans(texts))
+    for t, w in enumerate(texts):
+        for k, x in enumerate(items):
+            n = len(x.words)
+            mine = [(a, e) for u, j, a, e in found if (u, j) == (t, k)]
+            for s in range(len(w)):
+                low, high = max(0, s - n), min(len(w), s + decontaminate.WINDOW + n)
+                if x.within(w[low:high]) >= 0.5:
+                    assert any(a <= low and high <= e for a, e in mine)
+    monkeypatch.setattr(decontaminate, "_SCORES", 50)
+    assert sorted(space.spans(texts)) == found
+
+
 # ---- 10 -----------------------------------------------------------------
 
 
