@@ -28,6 +28,16 @@ def test_stages(spark):
     assert steps["bpe"](spark, safe, SF).count() == clean.count()
 
 
+def test_documents_with_a_stretched_item_are_dropped(spark, tmp_path):
+    from test_llm import stretched
+
+    docs, items = stretched()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = dict(corpus_pipeline.STAGES)["decontamination"](spark, d, str(tmp_path))
+    assert sorted(x.doc_id for x in clean.collect()) == list(range(100, 125))
+
+
 def test_whole_run_and_empty_input(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
